@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, token_orc
+from tidemark.llm import mixing, packing, simhash, token_orc, url_reputation
 from tidemark.llm.shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MIX = {"weights": (5, 2, 1), "share": 1.5, "most": 2.0, "seed": "mix"}
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, capacity=1024)
 
@@ -31,10 +38,25 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: A page's outcome is good if it has so many characters of text.
+CONTENT = 1000
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_reputation.judge(table(spark, sf_dir, "pages"), url_reputation.has_content(F.col("html"), CONTENT), RULES, least_upper=0.5, z=3.0)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_orc": op7_token_orc,
+    "op8_url_reputation": op8_url_reputation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_mix_sources": mixing.oracle("documents", **MIX),
+    "op8_url_reputation": url_reputation.oracle("pages", RULES, CONTENT),
+}
