@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash, token_orc, url_reputation
+from tidemark.llm import line_dedup, mixing, packing, perplexity, rule_ensemble, simhash, token_orc, url_reputation
 from tidemark.llm.shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity", "lower", "upper")
+
+
+#: Lines that are removed when they repeat have so many words.
+LINE_WORDS = 20
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the places of its removed lines, as start-stop in characters, and what is left of its text."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), unit="line", min_words=LINE_WORDS)
+    places = F.array_join(F.transform("removed", lambda p: F.concat_ws("-", p["start"], p["stop"])), ",")
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), places.alias("removed"), F.length("text").cast("long").alias("chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,15 +64,24 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ensemble.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return found.select("doc_id", (rule_ensemble.remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_perplexity": op1_perplexity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_orc": op7_token_orc,
     "op8_url_reputation": op8_url_reputation,
+    "op9_rule_ensemble": op9_rule_ensemble,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.oracle("documents", LINE_WORDS),
     "op4_mix_sources": mixing.oracle("documents", **MIX),
     "op8_url_reputation": url_reputation.oracle("pages", RULES, CONTENT),
 }
