@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, packing, perplexity, rule_ensemble, simhash, token_orc, url_reputation
+from tidemark.llm import cap_filters, chat, line_dedup, mixing, packing, perplexity, rule_ensemble, simhash, token_orc, url_reputation
 from tidemark.llm.shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, capacity=1024)
 
 
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's rendering as number of characters and MD5, its masks as start-stop."""
+    found = chat.perspectives(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["stop"])), ",")
+    return found.select("conv_id", "speaker", "segment", "n_turns", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), masks.alias("masks"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
@@ -69,19 +76,26 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (rule_ensemble.remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES = {
     "op1_perplexity": op1_perplexity,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op7_token_orc": op7_token_orc,
     "op8_url_reputation": op8_url_reputation,
     "op9_rule_ensemble": op9_rule_ensemble,
+    "op10_cap_filters": op10_cap_filters,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.oracle("documents", LINE_WORDS),
     "op4_mix_sources": mixing.oracle("documents", **MIX),
+    "op6_chat_perspectives": chat.oracle("conversations"),
     "op8_url_reputation": url_reputation.oracle("pages", RULES, CONTENT),
 }
