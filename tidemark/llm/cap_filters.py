@@ -19,34 +19,41 @@ from tidemark.llm.shared import Forest, groups, in_tiles, stage
 
 
 class Code:
-    """codes ** parts directions in `width` dimensions; a unit vector is in those with which its product is at least
-    deviations / sqrt(width), that is so many standard deviations of a random one."""
+    """turns * codes ** parts directions in `width` dimensions: in each of several random rotations, every choice of a
+    code for each part. A unit vector is in those directions' filters with which its product is at least
+    deviations / sqrt(width), that is so many standard deviations of a random one. Several rotations keep the number of
+    a vector's filters from varying much."""
 
-    def __init__(self, width: int, parts: int, codes: int, deviations: float, seed: int) -> None:
+    def __init__(self, width: int, turns: int, parts: int, codes: int, deviations: float, seed: int) -> None:
         rng = np.random.default_rng([seed, width])
-        self.parts = min(parts, width)
-        self.rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
+        self.parts, self.codes, self.least = min(parts, width), codes, deviations / np.sqrt(width)
         self.cuts = [width * k // self.parts for k in range(self.parts + 1)]
-        tables = [rng.standard_normal((codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        # parts of unequal width weigh by their width, so that every direction has length 1
-        self.tables = [t / np.linalg.norm(t, axis=1)[:, None] * np.sqrt(t.shape[1] / width) for t in tables]
-        self.codes, self.least = codes, deviations / np.sqrt(width)
+        self.turns = []
+        for _ in range(turns):
+            rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
+            tables = [rng.standard_normal((codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+            # parts of unequal width weigh by their width, so that every direction has length 1
+            self.turns.append((rotation, [t / np.linalg.norm(t, axis=1)[:, None] * np.sqrt(t.shape[1] / width) for t in tables]))
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row of unit vectors the ascending numbers of its filters."""
-        turned = unit @ self.rotation
-        scores = [turned[:, a:b] @ t.T for a, b, t in zip(self.cuts, self.cuts[1:], self.tables, strict=False)]
-        rest = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]  # the most that the parts from k on can add
-        out = []
-        for row in range(len(unit)):
-            numbers, sums = np.zeros(1, np.int64), np.zeros(1)
+        """For each row of unit vectors the ascending numbers of its filters: choices are made part by part, and left
+        when even the best codes for the parts to come can't reach the least product."""
+        rows, numbers = [], []
+        for turn, (rotation, tables) in enumerate(self.turns):
+            turned = unit @ rotation
+            scores = [turned[:, a:b] @ t.T for a, b, t in zip(self.cuts, self.cuts[1:], tables, strict=False)]
+            most = [s.max(axis=1) for s in scores]
+            row, number, total = np.arange(len(unit)), np.full(len(unit), turn, np.int64), np.zeros(len(unit))
             for k, s in enumerate(scores):
-                total = sums[:, None] + s[row][None, :]
-                more = rest[k + 1][row] if k + 1 < self.parts else 0.0
-                i, code = np.nonzero(total + more >= self.least)
-                numbers, sums = numbers[i] * self.codes + code, total[i, code]
-            out.append(np.sort(numbers))
-        return out
+                more = sum(most[k + 1 :], np.zeros(len(unit)))
+                sums = total[:, None] + s[row]
+                i, code = np.nonzero(sums + more[row][:, None] >= self.least)
+                row, number, total = row[i], number[i] * self.codes + code, sums[i, code]
+            rows.append(row)
+            numbers.append(number)
+        row, number = np.concatenate(rows), np.concatenate(numbers)
+        order = np.lexsort((number, row))
+        return np.split(number[order].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
 
 
 def _valid(vector: Column) -> Column:
@@ -55,7 +62,7 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def near_vectors(rows: DataFrame, least: float = 0.93, parts: int = 2, codes: int = 128, deviations: float = 3.1, tile: int = 512, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.93, turns: int = 12, parts: int = 2, codes: int = 64, deviations: float = 3.1, tile: int = 512, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of rows.
 
     Vectors are compared if their labels are equal and not null and their lengths are equal; two are linked if their
@@ -76,6 +83,8 @@ def near_vectors(rows: DataFrame, least: float = 0.93, parts: int = 2, codes: in
     classes = rows.where("valid").groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
 
+    kind = "<f4" if dict(rows.dtypes)["vector"] == "array<float>" else "<f8"  # as given: nothing is rounded
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Code] = {}
         for batch in batches:
@@ -83,29 +92,29 @@ def near_vectors(rows: DataFrame, least: float = 0.93, parts: int = 2, codes: in
             filters: list = [None] * len(vectors)
             for width in {len(v) for v in vectors}:
                 own = [i for i, v in enumerate(vectors) if len(v) == width]
-                code = made.setdefault(width, Code(width, parts, codes, deviations, seed))
-                for k in range(0, len(own), 4096):
-                    part = own[k : k + 4096]
+                code = made.setdefault(width, Code(width, turns, parts, codes, deviations, seed))
+                for k in range(0, len(own), 512):
+                    part = own[k : k + 512]
                     for i, f in zip(part, code.filters(_unit(np.array([vectors[j] for j in part]))), strict=True):
                         filters[i] = f
-            columns = [batch.column(0), batch.column(1), pa.array([len(v) for v in vectors], pa.int32()), batch.column(3), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(filters, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array([len(v) for v in vectors], pa.int32()), batch.column(3), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(filters, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["class", "label", "width", "n", "vector", "filters"])
 
-    found = classes.select("class", "label", "vector", "n").mapInArrow(decode, "class long, label long, width int, n long, vector binary, filters array<long>")
+    found = classes.select("class", "label", "vector", "n").mapInArrow(decode, "class long, label long, width int, n long, vector binary, filters array<int>")
     found = stage(found, "vector-filters")
     keys = ["label", "width", "filter"]
     light = found.select("class", "label", "width", F.explode("filters").alias("filter"))
     sizes = stage(light.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), "filter-sizes")
     tiles = in_tiles(light.join(sizes, keys), "size", keys, F.xxhash64("class"), tile)
-    heavy = found.select("class", "n", "vector", F.transform("filters", lambda x: x).alias("filters"))
+    heavy = found.select("class", "n", "vector", "filters")
     tiled = [*keys, "tile_i", "tile_j"]
     tiles = tiles.join(heavy, "class").select(*tiled, "own", "class", "n", "vector", "filters").repartition(*tiled).sortWithinPartitions(*tiled)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(_as_bytes(batches), 5):
-            kind, a, b = _links(group, least)
-            if len(kind):
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["link", "a", "b"])
+            link, a, b = _links(group, least, kind)
+            if len(link):
+                yield pa.RecordBatch.from_arrays([pa.array(link), pa.array(a), pa.array(b)], ["link", "a", "b"])
 
     links = stage(tiles.mapInArrow(work, "link boolean, a long, b long"), "vector-links")
     counts = links.where("not link").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("others"))
@@ -128,18 +137,18 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Filters as bytes, since their number differs from row to row."""
     for batch in batches:
         lists = batch.column(9)
-        values, ends = lists.values.to_numpy().astype(np.int64, copy=False), lists.offsets.to_numpy()
+        values, ends = lists.values.to_numpy().astype(np.int32, copy=False), lists.offsets.to_numpy()
         packed = pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:9], packed], batch.schema.names)
 
 
-def _links(group: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(group: list[np.ndarray], least: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a tile: for each class the number of vectors linked to it (False, class, number), and a spanning forest of
     the links (True, class, class). A pair counts in the smallest filter that both are in, and only there."""
     _, _, number, tile_i, tile_j, own, name, n, vector, filters = group
     left = np.flatnonzero(own == tile_i[0])
     right = np.flatnonzero(own == tile_j[0]) if tile_i[0] != tile_j[0] else left
-    unit = _unit(np.frombuffer(b"".join(vector), float).reshape(len(vector), -1))
+    unit = _unit(np.frombuffer(b"".join(vector), kind).astype(float).reshape(len(vector), -1))
     close = unit[left] @ unit[right].T >= least
     if tile_i[0] == tile_j[0]:
         close = np.triu(close, 1)
@@ -151,7 +160,7 @@ def _links(group: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarra
     forest = Forest(len(name))
     forest.link(a, b)
     used, place = np.unique(np.r_[a, b], return_inverse=True)
-    lists = [f[f < number[0]] for f in (np.frombuffer(filters[u], np.int64) for u in used)]
+    lists = [f[f < number[0]] for f in (np.frombuffer(filters[u], np.int32) for u in used)]
     code = np.unique(np.concatenate(lists))
     if len(code):
         member = np.zeros((len(used), len(code)), np.float32)
