@@ -154,9 +154,12 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     blocked = pieces.withColumn("_block", F.pmod(F.xxhash64(*[c for c in pieces.columns]), F.lit(BLOCKS)).cast("int"))
     counts = blocked.groupBy("length", "_block").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("length").agg(F.collect_list(F.struct("_block", "n")).alias("blocks"))
     first: dict[int, np.ndarray] = {}
-    for row in counts.toLocalIterator():
-        first.setdefault(row["length"], np.zeros(BLOCKS, np.int64))[row["_block"]] = row["n"]
+    for batch in counts.toArrow().to_batches():
+        for length, blocks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = first[length] = np.zeros(BLOCKS, np.int64)
+            own[blocks.values.field(0).to_numpy()] = blocks.values.field(1).to_numpy()
     if any(not 0 < x <= capacity for x in first):
         raise ValueError("lengths are 1 to the capacity")
     places = _places(patterns({x: int(n.sum()) for x, n in first.items()}, capacity))
