@@ -1,9 +1,9 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into fewer segments than a search by equal segments would need, so few that of two fingerprints
-within max_bits one segment differs by one bit at most. Every segment value is indexed under its one-wildcard variants;
-two values that share a variant differ in that bit alone. The members of such neighbouring values, and of equal ones,
-are verified on all 64 bits.
+A fingerprint is cut into segments of 32 bits, fewer than a search by equal segments would need: of two fingerprints
+with fewer than twice as many differing bits as segments, one segment differs by one bit at most. Every segment value is
+indexed under its one-wildcard variants; two values that share a variant differ in that bit alone. The members of such
+neighbouring values, and of equal ones, are verified on the whole fingerprint.
 """
 
 from __future__ import annotations
@@ -24,27 +24,45 @@ from tidemark.llm.shared import Forest, as_binary, groups, in_tiles, stage
 RUN = 1 << 16
 
 
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Other 64 bits for each hash (the finaliser of SplitMix64); turn 0 gives the hashes as they are."""
+    if not turn:
+        return h
+    h = h + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _majority(runs: Iterator[np.ndarray], longs: int) -> list[int]:
+    """64 * longs bits, each 1 if set in over half of the hashes."""
+    ones, n = np.zeros((longs, 64), np.int64), 0
+    for h in runs:
+        n += len(h)
+        for turn in range(longs):
+            bits = np.unpackbits(_mixed(h, turn).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            whole = len(bits) // 255 * 255  # sums of 255 fit into a byte, which is fast
+            ones[turn] += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def _shingles(parts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles, repeats included, a run at a time; fewer words are one shingle."""
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    width = min(width, len(parts))
+    starts, ends = starts[: len(parts) - width + 1], ends[width - 1 :]
+    digest = partial(xxhash.xxh64_intdigest, seed=42)
+    for k in range(0, len(starts), RUN):
+        yield np.array([digest(line[a:b]) for a, b in zip(starts[k : k + RUN].tolist(), ends[k : k + RUN].tolist(), strict=True)], np.uint64)
+
+
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """SimHash of the word shingles (repeats included) of a text, A-Z in lower case: XXH64 with seed 42, and each bit 1
     that is set in over half the hashes. Texts of fewer words than `width` are one shingle; without words it is zero."""
     parts = text.lower().split() if text else []
-    if not parts:
-        return 0
-    line = b" ".join(parts)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    ends -= 1
-    if len(parts) > width:
-        starts, ends = starts[: len(parts) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = partial(xxhash.xxh64_intdigest, seed=42)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(starts), RUN):
-        hashes = np.array([digest(line[a:b]) for a, b in zip(starts[k : k + RUN].tolist(), ends[k : k + RUN].tolist(), strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    return _majority(_shingles(parts, width), 1)[0] if parts else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -52,25 +70,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in as_binary(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = [fingerprint(t, width) for t in as_binary(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-def near_links(fps: DataFrame, max_bits: int = 3, tile: int = 1024) -> DataFrame:
-    """Links (a, b) between the nodes of fps (fp long, node long; fp distinct) that connect, by way of others in part,
-    exactly the fingerprints with max_bits or fewer differing bits. A bucket gives a spanning forest of its links, not
-    all pairs."""
-    segments = (max_bits + 1) // 2 if max_bits > 1 else 1  # floor(max_bits / segments) <= 1
-    bits = [64 * i // segments for i in range(segments + 1)]
-    if not 0 <= max_bits <= 7:
-        raise ValueError("max_bits is 0 to 7: beyond, segments are too short to tell texts apart")
-    parts = F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1 if hi - lo < 64 else -1)).alias("val")) for i, (lo, hi) in enumerate(zip(bits, bits[1:], strict=False))])
-    values = fps.select("fp", "node", F.explode(parts).alias("p")).select("fp", "node", "p.seg", "p.val")
+#: Longs of the two fingerprints of similar(): 256 bits are cut, 512 bits are verified.
+CUT, CHECK = 4, 8
+
+
+def _wide(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, cut, check): a fingerprint of a text's different words, in which near copies differ by few bits, and one
+    of its different shingles, whose differing bits measure the similarity. Without words both are zero."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut, check = [], []
+            for text in as_binary(batch.column(1)):
+                parts = text.lower().split() if text else []
+                cut.append(_majority(_shingles_once(list(set(parts)), 1), CUT) if parts else [0] * CUT)
+                check.append(_majority(_shingles_once(parts, width), CHECK) if parts else [0] * CHECK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.list_(pa.int64()))], ["doc_id", "cut", "check"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, cut array<long>, check array<long>")
+
+
+def _shingles_once(parts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    yield np.unique(np.concatenate(list(_shingles(parts, width))))
+
+
+def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
+    """Links (a, b) between the nodes of fps (node long, cut array of longs, check array of longs) that connect, by way
+    of others in part, the nodes whose check has max_bits or fewer differing bits and that have a segment of cut with
+    one differing bit at most. If cut and check are the same and max_bits is below twice the number of segments, that is
+    all of the former. A bucket gives a spanning forest of its links, not all pairs."""
+    width = F.lit(2).cast("int") * F.size("cut")
+    parts = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.struct(i.alias("seg"), F.when(i % 2 == 0, F.element_at("cut", (i / 2).cast("int") + 1).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(F.element_at("cut", (i / 2).cast("int") + 1), 32)).alias("val")))
+    values = fps.select("node", F.explode(parts).alias("p")).select("node", "p.seg", "p.val")
     counts = stage(values.groupBy("seg", "val").agg(F.count("*").alias("n")), "segment-values")
-    wide = F.expr("CASE seg " + " ".join(f"WHEN {i} THEN {hi - lo}" for i, (lo, hi) in enumerate(zip(bits, bits[1:], strict=False))) + " END")
-    variants = counts.select("seg", "val", "n", F.explode(F.sequence(F.lit(0), wide - 1)).alias("pos"))
+    variants = counts.select("seg", "val", "n", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("pos"))
     mask = F.expr("shiftleft(1L, pos)")
     variants = variants.select("seg", "pos", F.col("val").bitwiseAND(F.bitwise_not(mask)).alias("rest"), "n")
     near = variants.groupBy("seg", "pos", "rest").agg(F.count("*").alias("sides"), F.sum("n").alias("size")).where("sides = 2")
@@ -80,21 +119,23 @@ def near_links(fps: DataFrame, max_bits: int = 3, tile: int = 1024) -> DataFrame
         counts.where("n > 1").select("seg", "val", F.lit(-1).alias("pos"), F.col("val").alias("rest"), F.col("n").alias("size"), F.lit(0).alias("side"))
     )
     members = values.join(stage(buckets, "buckets"), ["seg", "val"])
-    tiles = in_tiles(members, "size", ["seg", "pos", "rest"], F.xxhash64("fp"), tile)
+    tiles = in_tiles(members, "size", ["seg", "pos", "rest"], F.xxhash64("node"), tile)
     keys = ["seg", "pos", "rest", "tile_i", "tile_j"]
-    tiles = tiles.select(*keys, "own", "side", "fp", "node").repartition(*keys).sortWithinPartitions(*keys)
+    tiles = stage(tiles.select(*keys, "own", "side", "node"), "tiles").join(fps.select("node", "check"), "node")
+    tiles = tiles.select(*keys, "own", "side", "node", "check").repartition(*keys).sortWithinPartitions(*keys)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pos, _, tile_i, tile_j, own, side, fp, node in groups(batches, 5):
-            fp = fp.view(np.uint64)
-            forest, n = Forest(len(fp)), len(fp)
+        for _, pos, _, tile_i, tile_j, own, side, node, check in groups(batches, 5):
+            check = np.ascontiguousarray(check).view(np.uint64)
+            forest, n = Forest(len(node)), len(node)
             for k in range(1, n):  # each row with the k-th after it
-                ok = np.bitwise_count(fp[k:] ^ fp[:-k]) <= max_bits
+                at = np.arange(n - k)
                 if pos[0] >= 0:
-                    ok &= side[k:] != side[:-k]
+                    at = at[side[k:] != side[:-k]]
                 if tile_i[0] != tile_j[0]:
-                    ok &= own[k:] != own[:-k]
-                at = np.flatnonzero(ok)
+                    at = at[own[at + k] != own[at]]
+                at = at[forest.root[at] != forest.root[at + k]]
+                at = at[np.bitwise_count(check[at] ^ check[at + k]).sum(axis=1, dtype=np.int64) <= max_bits]
                 forest.link(at, at + k)
             a, b = forest.edges()
             if len(a):
@@ -103,28 +144,56 @@ def near_links(fps: DataFrame, max_bits: int = 3, tile: int = 1024) -> DataFrame
     return tiles.mapInArrow(work, "a long, b long")
 
 
+def _components(found: DataFrame, by: list[str], fps: DataFrame, max_bits: int, tile: int) -> DataFrame:
+    """found (doc_id and the columns `by`) with component_id. fps has a row for each distinct `by`, named node."""
+    links = near_links(fps.select("node", "cut", "check"), max_bits, tile)
+    component = connected_components(links).select(F.col("node").alias("_node"), F.col("component").alias("root"))
+    rooted = fps.join(component, F.col("node") == F.col("_node"), "left").select(*by, "first", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "rooted")
+    names = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-names")
+    return found.join(stage(rooted.join(names, "root").select(*by, "component_id"), "components"), by)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, tile: int = 1024) -> DataFrame:
     """(doc_id, fp long, component_id) of every row of docs; component_id is the smallest id reachable by links between
-    fingerprints with max_bits or fewer differing bits.
+    fingerprints with max_bits (3 at most) or fewer differing bits.
 
     Equal fingerprints are one node from the start, so copies of any number cost one row. A null or blank text has the
-    fingerprint zero, linked like any other; an id that is null is never a component's name unless all of them are
-    (then component_id is null). Rows that repeat an id are rows like others. An empty table gives an empty result.
+    fingerprint zero, linked like any other; a component is named null only if all its ids are null. Rows that repeat an
+    id are rows like others. An empty table gives an empty result.
     """
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two segments find fingerprints with 3 differing bits at most; similar() goes further")
     found = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    # nodes are named by their smallest id; a fingerprint whose ids are all null, or which shares its first id with others, is linked under that name
-    fps = nodes.select("fp", F.col("first").alias("node"))
-    links = near_links(fps.where("node is not null"), max_bits, tile)
-    component = connected_components(links)
-    named = nodes.join(component, nodes["first"] == component["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return found.join(stage(named, "components"), "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that stay: of each component the document with the smallest id.
-    Rows that repeat an id are one document, of which one row stays; of rows without an id one stays for each text."""
-    named = near_duplicates(docs, width=width, max_bits=max_bits)
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
+    fps = nodes.select("*", F.array("fp").alias("cut"), F.array("fp").alias("check"))
+    return _components(found, ["fp"], fps, max_bits, tile).select("doc_id", "fp", "component_id")
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
+    """(doc_id, component_id) of every row of docs (doc_id, text): near copies by the Jaccard similarity of their
+    different word shingles, as measured by the differing bits of a 512-bit SimHash.
+
+    Candidates have a segment of a 256-bit SimHash of their different words with one differing bit at most; at a
+    similarity of 0.8 in shingles of five words that misses about one pair in thirty, fewer above. Two are linked if no
+    more bits differ than 15 in 16 pairs of the similarity have, so pairs just below it may be linked and a few just
+    above may not. Other cases are those of near_duplicates.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    max_bits = int(64 * CHECK * share + 1.5 * np.sqrt(64 * CHECK * share * (1 - share)))
+    found = stage(_wide(docs, width), "fingerprints")
+    nodes = found.groupBy("cut", "check").agg(F.min("doc_id").alias("first"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
+    return _components(found, ["cut", "check"], nodes, max_bits, tile).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that stay: of each component of similar() the document with the
+    smallest id. Rows that repeat an id are one document, of which one row stays; of rows without an id one stays for
+    each text."""
+    named = similar(docs, width, similarity)
     stay = named.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("copies"))
     kept = docs.join(stage(stay, "stays"), F.col("doc_id") == F.col("stays"))
     out = kept.where("copies = 1").select(*docs.columns).unionByName(kept.where("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
