@@ -1,0 +1 @@
+"""A PySpark-native analytics engine: relational and time-series operators, streams, and training-data operators."""
