@@ -1,0 +1,38 @@
+"""Every query of the library against its SQL, and the contract's functions."""
+
+from __future__ import annotations
+
+import pytest
+
+from tidemark.plans import relational, timeseries
+from tidemark.streaming import queries as streams
+
+QUERIES = relational.QUERIES | timeseries.QUERIES | streams.QUERIES
+SQL = relational.ORACLE_SQL | timeseries.ORACLE_SQL | streams.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_sql(name, same_rows):
+    same_rows(QUERIES[name], SQL[name])
+
+
+def test_approx_distinct_is_near(spark, sf):
+    got = {r["event_type"]: r["users"] for r in relational.aggregate_approx_distinct(spark, sf).collect()}
+    want = {r["event_type"]: r["users"] for r in relational.aggregate_distinct(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 0.1 * want[k] for k in want)
+
+
+def test_contract(spark, sf):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf, capsys):
+    relational.filter_range(spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(o_orderdate" in plan
+    assert "o_custkey" not in plan.split("ReadSchema")[1].splitlines()[0]

@@ -43,7 +43,7 @@ def project_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", charge.alias("charge"), (F.col("l_quantity") > 25).alias("bulk"))
 
 
-@query("""SELECT r_name, n_name, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DECIMAL(28,4) AS revenue, count(*) AS n
+@query("""SELECT r_name, n_name, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS revenue, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""")
 def join_star(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name: table(spark, sf, name)
@@ -51,7 +51,7 @@ def join_star(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name", "n_name").agg(F.sum("price").cast("decimal(28,4)").alias("revenue"), F.count("*").alias("n"))
+    return rows.groupBy("r_name", "n_name").agg(F.sum("price").cast("double").alias("revenue"), F.count("*").alias("n"))
 
 
 def _orders_lines(spark: SparkSession, sf: str, how: str) -> DataFrame:
@@ -105,11 +105,11 @@ def join_salted(spark: SparkSession, sf: str) -> DataFrame:
     return salted_join(e, e.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"]).select("event_id", "user_id", "n")
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(28,2) AS sum_price, round(avg(l_discount), 8) AS avg_disc, min(l_shipdate) AS first_ship, count(*) AS n
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_price, round(avg(l_discount), 8) AS avg_disc, min(l_shipdate) AS first_ship, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 def aggregate_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("sum_price"), F.round(F.avg("l_discount"), 8).alias("avg_disc"), F.min("l_shipdate").alias("first_ship"), F.count("*").alias("n"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("sum_price"), F.round(F.avg("l_discount"), 8).alias("avg_disc"), F.min("l_shipdate").alias("first_ship"), F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
