@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import as_binary, stage
+from tidemark.llm.shared import rows_of, stage
 
 #: Where texts are cut: at each line end, or at blank lines.
 UNITS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
@@ -31,7 +30,7 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, digest in rows_of(batch):
                 at = 0
                 for m in [*cut.finditer(text or ""), None]:
                     stop = m.start() if m else len(text or "")
@@ -84,10 +83,10 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str
     Null and empty texts stay as they are. Rows that repeat both id and text are one document: each gets its places.
     Units under min_words words are never removed. A column of docs named removed is replaced.
     """
-    gone = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed"))
-    rows = docs.drop("removed").join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest")), "left")
-    places = F.coalesce("_removed", F.array().cast("array<struct<start:long,stop:long>>"))
-    rows = rows.withColumn("removed", places).drop("_id", "_digest", "_removed")
+    gone = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("digest").alias("_tm_digest"), F.col("removed").alias("_tm_removed"))
+    rows = docs.drop("removed").join(gone, F.col(id_col).eqNullSafe(F.col("_tm_id")) & (F.xxhash64(text_col) == F.col("_tm_digest")), "left")
+    places = F.coalesce("_tm_removed", F.array().cast("array<struct<start:long,stop:long>>"))
+    rows = rows.withColumn("removed", places).drop("_tm_id", "_tm_digest", "_tm_removed")
     return rows.withColumn(text_col, F.when(F.size("removed") > 0, F.pandas_udf(_without, "string")(F.col(text_col), F.col("removed"))).otherwise(F.col(text_col)))
 
 

@@ -103,13 +103,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs (doc_id, text, source and any others), each as often as the mix takes it."""
-    taken = mix(docs, **how).groupBy(F.col("doc_id").alias("taken_id"), F.col("digest").alias("taken_digest")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    both = docs.join(stage(taken.where("times > 0"), "taken"), F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("text") == F.col("taken_digest")))
-    same = Window.partitionBy("doc_id", "taken_digest").orderBy(F.lit(0))
-    once = both.where("rows = 1").withColumn("n", F.col("times"))
-    repeated = both.where("rows > 1").withColumn("i", F.row_number().over(same))
-    repeated = repeated.withColumn("n", F.floor(F.col("times") / F.col("rows")) + F.when(F.col("i") <= F.col("times") % F.col("rows"), 1).otherwise(0)).drop("i")
-    return once.unionByName(repeated).where("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*docs.columns)
+    taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_tm_id"), F.col("digest").alias("_tm_digest")).agg(F.sum("times").alias("_tm_times"), F.count("*").alias("_tm_rows"))
+    both = docs.join(stage(taken.where("_tm_times > 0"), "taken"), F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.xxhash64("text") == F.col("_tm_digest")))
+    # rows that repeat both id and text share what is taken of them
+    same = Window.partitionBy("doc_id", "_tm_digest").orderBy(F.lit(0))
+    once = both.where("_tm_rows = 1").withColumn("_tm_n", F.col("_tm_times"))
+    more = F.floor(F.col("_tm_times") / F.col("_tm_rows")) + F.when(F.row_number().over(same) <= F.col("_tm_times") % F.col("_tm_rows"), 1).otherwise(0)
+    every = once.unionByName(both.where("_tm_rows > 1").withColumn("_tm_n", more)).where("_tm_n > 0")
+    return every.withColumn("_tm_n", F.explode(F.sequence(F.lit(1), F.col("_tm_n").cast("int")))).select(*docs.columns)
 
 
 def oracle(documents: str, weights: Sequence[float], share: float, most: float, seed: str) -> str:

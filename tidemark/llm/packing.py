@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stage
+from tidemark.llm.shared import rows_of, stage
 from tidemark.llm.tokens import encoded
 
 #: Blocks in which the pieces of one length are numbered side by side.
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(5)]
-            for (doc, _), ids in encoded(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), tokenizer):
+            for (doc, _), ids in encoded(rows_of(batch), tokenizer):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

@@ -128,9 +128,9 @@ def remainder(doc_id: Column, folds: int = 5) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **how) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold, else 0) for every row; labels whose id has
-    remainder 0 are held out. Null and blank texts have a score like others. Columns of docs named score, predicted or
-    quality_statistics are replaced."""
+    remainder 0 are held out. Null and blank texts have a score like others. Columns of docs named score or predicted
+    are replaced."""
     model = fit(docs, labels.where(remainder(F.col("doc_id"), folds) != 0), **how)
-    rows = docs.withColumn("quality_statistics", statistics(F.col("text")))
-    rows = rows.withColumn("score", model.score(F.col("quality_statistics"))).drop("quality_statistics")
+    rows = docs.withColumn("_tm_statistics", statistics(F.col("text")))
+    rows = rows.withColumn("score", model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

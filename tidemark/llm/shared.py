@@ -49,10 +49,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def as_binary(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of a string column, without decoding."""
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+def rows_of(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, with Python objects for a few of them at a time."""
+    for k in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, at_once).columns), strict=True)
 
 
 def numpy_columns(batch: pa.RecordBatch) -> list[np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import Forest, as_binary, groups, in_tiles, stage
+from tidemark.llm.shared import Forest, groups, in_tiles, rows_of, stage
 
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one's many times over.
 RUN = 1 << 16
@@ -70,10 +70,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, width) for t in as_binary(batch.column(1))]
+            found = [fingerprint(t, width) for _, t in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
 #: Longs of the two fingerprints of similar(): 256 bits are cut, 512 bits are verified.
@@ -87,13 +87,13 @@ def _wide(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut, check = [], []
-            for text in as_binary(batch.column(1)):
+            for _, text in rows_of(batch):
                 parts = text.lower().split() if text else []
                 cut.append(_majority(_shingles_once(list(set(parts)), 1), CUT) if parts else [0] * CUT)
                 check.append(_majority(_shingles_once(parts, width), CHECK) if parts else [0] * CHECK)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.list_(pa.int64()))], ["doc_id", "cut", "check"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, cut array<long>, check array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(work, "doc_id long, cut array<long>, check array<long>")
 
 
 def _shingles_once(parts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -109,7 +109,8 @@ def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.struct(i.alias("seg"), F.when(i % 2 == 0, F.element_at("cut", (i / 2).cast("int") + 1).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(F.element_at("cut", (i / 2).cast("int") + 1), 32)).alias("val")))
     values = fps.select("node", F.explode(parts).alias("p")).select("node", "p.seg", "p.val")
     counts = stage(values.groupBy("seg", "val").agg(F.count("*").alias("n")), "segment-values")
-    variants = counts.select("seg", "val", "n", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("pos"))
+    spread = counts.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "val")
+    variants = spread.select("seg", "val", "n", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("pos"))
     mask = F.expr("shiftleft(1L, pos)")
     variants = variants.select("seg", "pos", F.col("val").bitwiseAND(F.bitwise_not(mask)).alias("rest"), "n")
     near = variants.groupBy("seg", "pos", "rest").agg(F.count("*").alias("sides"), F.sum("n").alias("size")).where("sides = 2")
@@ -194,7 +195,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     smallest id. Rows that repeat an id are one document, of which one row stays; of rows without an id one stays for
     each text."""
     named = similar(docs, width, similarity)
-    stay = named.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("copies"))
-    kept = docs.join(stage(stay, "stays"), F.col("doc_id") == F.col("stays"))
-    out = kept.where("copies = 1").select(*docs.columns).unionByName(kept.where("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    stay = named.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_tm_stays")).agg(F.count("*").alias("_tm_copies"))
+    kept = docs.join(stage(stay, "stays"), F.col("doc_id") == F.col("_tm_stays"))
+    out = kept.where("_tm_copies = 1").select(*docs.columns).unionByName(kept.where("_tm_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
     return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import rows_of
 from tidemark.llm.tokens import encoded
 
 SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
@@ -35,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
         for batch in batches:
             part: list[tuple[int, bytes]] = []
             size = 0
-            for (doc, _), ids in encoded(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), tokenizer):
+            for (doc, _), ids in encoded(rows_of(batch), tokenizer):
                 part.append((doc, ids + end))
                 size += len(ids) + 4
                 if size >= 8 << 20:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,16 +18,18 @@ _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0")
 _LINE_END = "\n"
 #: Lines encoded as one text; many more take the tokenizer longer a line.
 _LINES = 200
+#: Bits that mark pieces by hash as met before.
+_MET = (1 << 24) - 1
 
 
 class Encoder:
     """Ids of texts, for tokenizers files with the byte-level pre-tokenizer (add_prefix_space false). Pieces met before
-    come from a table of at most `entries` pieces; the table changes no result."""
+    come from a table of at most `entries` pieces; the table changes no result, only the time."""
 
-    def __init__(self, path: str, entries: int = 1_200_000) -> None:
+    def __init__(self, path: str, entries: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self.entries, self.known = entries, {}
+        self.entries, self.known, self.met = entries, {}, bytearray(_MET + 1 >> 3)
         ids = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.line_end = ids[1]
         self.cuts = len(ids) == 3 and self._whole("a b\nc") == self._whole("a") + self._whole(" b") + self._whole("\n") + self._whole("c")
@@ -65,32 +68,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._pieces(t) for t in texts]
-        known = self.known
-        new = set().union(*cut).difference(known) if cut else set()
+        here = dict.fromkeys(set().union(*cut)) if cut else {}
+        new = []
+        for piece in here:
+            try:
+                here[piece] = self.known[piece]
+            except KeyError:
+                new.append(piece)
         if new:
-            found = self._learn(list(new))
-            if len(known) + len(found) <= self.entries:
-                known.update(found)
-            else:
-                known = _Both(found, known)
+            found = self._learn(new)
+            here.update(found)
+            self._keep(found)
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                out.append(b"".join(map(here.__getitem__, pieces)))
             except TypeError:  # a piece with other white space
                 out.append(self._whole(text))
         return out
 
-
-class _Both(dict):
-    """This batch's pieces, and those known before for the rest."""
-
-    def __init__(self, found: dict, known: dict) -> None:
-        super().__init__(found)
-        self.known = known
-
-    def __missing__(self, piece: str) -> bytes | None:
-        return self.known[piece]
+    def _keep(self, found: dict[str, bytes | None]) -> None:
+        """Pieces met in two calls go to the table; most pieces of a corpus come once, and would fill it."""
+        for piece, ids in found.items():
+            if len(self.known) >= self.entries:
+                return
+            at = hash(piece) & _MET
+            if self.met[at >> 3] >> (at & 7) & 1:
+                self.known[piece] = ids
+            else:
+                self.met[at >> 3] |= 1 << (at & 7)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,7 +109,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(rows: list[tuple], path: str, characters: int = 1 << 20):
+def encoded(rows: Iterable[tuple], path: str, characters: int = 1 << 21) -> Iterator[tuple[tuple, bytes]]:
     """(row, ids) of rows whose last field is the text (null: empty), a bounded number of characters at a time."""
     own, part, size = encoder(path), [], 0
     for row in rows:

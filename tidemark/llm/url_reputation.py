@@ -12,6 +12,8 @@ from tidemark.llm.shared import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bounds of a level's share of variance: below, its groups are as one; above, they tell nothing of each other.
 RHO = (0.001, 0.9)
+#: That share where no group has two outcomes to tell it.
+UNKNOWN_RHO = 0.1
 
 
 def host_of(url: Column) -> Column:
@@ -57,13 +59,13 @@ def _rho(groups: DataFrame, mean: str) -> float:
     own = F.col("good") / F.col("n") - F.col(mean)
     binomial = F.col(mean) * (1 - F.col(mean))
     row = groups.where("n > 0").agg(F.sum(F.col("n") * own * own - binomial), F.sum(binomial * (F.col("n") - 1))).first()
-    return min(max(row[0] / row[1] if row[1] else RHO[0], RHO[0]), RHO[1])
+    return min(max(row[0] / row[1] if row[1] else UNKNOWN_RHO, RHO[0]), RHO[1])
 
 
 def reputation(outcomes: DataFrame, z: float = 3.0) -> DataFrame:
     """(host, n, good, mean, upper) of every host in outcomes (host, outcome 1, 0 or null; nulls don't count).
 
-    A suffix's mean is shrunk to that of all pages, a registered domain's to its suffix's, and the host's posterior is a
+    A suffix's mean is shrunk to that of all pages (with one good and one bad page added, so that it is no certainty), a registered domain's to its suffix's, and the host's posterior is a
     beta distribution whose prior has its domain's mean; the strengths of the three priors come from the data by the
     beta-binomial's moments. upper is the posterior mean plus z standard deviations. Outcomes are summed by host before
     they are shuffled, so a host with a third of the pages costs no more than others; what follows is as long as the
@@ -77,7 +79,7 @@ def reputation(outcomes: DataFrame, z: float = 3.0) -> DataFrame:
         return hosts.select("host", "n", "good", F.lit(1.0).alias("mean"), F.lit(1.0).alias("upper"))
     rate = lambda g: g.withColumn("rate", F.col("good") / F.nullif(F.col("n"), F.lit(0)))
     strength = lambda rho: 1 / rho - 1
-    suffixes = total("suffix").withColumn("parent", F.lit(good / n))
+    suffixes = total("suffix").withColumn("parent", F.lit((good + 1) / (n + 2)))
     k = strength(_rho(suffixes, "parent"))
     suffixes = rate(suffixes).withColumn("suffix_mean", (F.col("good") + k * F.col("parent")) / (F.col("n") + k))
     above = suffixes.select("suffix", F.coalesce("rate", "parent").alias("parent"), "suffix_mean")
@@ -113,7 +115,7 @@ def oracle(pages: str, rules: Sequence[tuple[str, str]], content: int, least_upp
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
     by_length = sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True)
     case = lambda give: "CASE " + " ".join(f"WHEN {fits(text)} THEN '{give(what, text)}'" for what, text in by_length) + " END"
-    rho = lambda table: f"(SELECT coalesce(1 / least(greatest(sum(n * (good / n - parent) * (good / n - parent) - parent * (1 - parent)) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), {RHO[0]}), {RHO[1]}), {1 / RHO[0]}) - 1 FROM {table} WHERE n > 0)"
+    rho = lambda table: f"(SELECT coalesce(1 / least(greatest(sum(n * (good / n - parent) * (good / n - parent) - parent * (1 - parent)) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), {RHO[0]}), {RHO[1]}), {1 / UNKNOWN_RHO}) - 1 FROM {table} WHERE n > 0)"
     return rf"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
@@ -122,7 +124,7 @@ WITH u AS (
   FROM {pages}),
 h AS (SELECT host, regexp_extract(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '([^.]*\.)?[^.]*$') AS domain, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS good FROM u GROUP BY host),
 x AS (SELECT *, regexp_extract(domain, '[^.]*$') AS suffix FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT sum(good) / nullif(sum(n), 0) FROM x) AS parent FROM x GROUP BY suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM x) AS parent FROM x GROUP BY suffix),
 s2 AS (SELECT suffix, coalesce(good / nullif(n, 0), parent) AS rate, (good + {rho('s')} * parent) / (n + {rho('s')}) AS mean FROM s),
 d AS (SELECT domain, suffix, sum(x.n) AS n, sum(x.good) AS good, any_value(s2.rate) AS parent, any_value(s2.mean) AS above FROM x JOIN s2 USING (suffix) GROUP BY domain, suffix),
 d2 AS (SELECT domain, coalesce(good / nullif(n, 0), parent) AS rate, (good + {rho('d')} * above) / (n + {rho('d')}) AS mean FROM d),
