@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stage
+from tidemark.llm.shared import stage, worker_table
 
 #: What a text is judged by, in the order of the array that statistics() gives.
 STATISTICS = ("log_words", "word_bytes", "symbols", "capitals", "exclaims", "digits", "distinct", "commonest", "again", "bars", "repeated_lines", "line_words", "other")
@@ -41,6 +41,7 @@ def _of(text: bytes | None) -> list[float]:
 
 
 def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    worker_table()
     for part in texts:
         yield pd.Series([_of(t) for t in part], dtype=object)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to Python at a time: whole texts are long, and both sides hold a batch or two of them.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand few rows at a time to Python."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back. It cuts the lineage, outlives lost executors, and fixes the
     rows, so that later jobs over the table agree."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task.
+_TABLES: dict[str, object] = {}
+
+
+def worker_table(name: str | None = None, make: Callable[[], object] | None = None) -> object:
+    """The worker's table of this name, made if there is none. Tables of other names, which earlier tasks of other
+    operators left, are dropped; without a name all are."""
+    for other in [x for x in _TABLES if x != name]:
+        del _TABLES[other]
+    if name is None:
+        return None
+    if name not in _TABLES:
+        _TABLES[name] = make()
+    return _TABLES[name]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for a null or blank text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import Forest, groups, in_tiles, rows_of, stage
+from tidemark.llm.shared import Forest, groups, in_tiles, rows_of, stage, worker_table
 
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one's many times over.
 RUN = 1 << 16
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long) of every row; other columns are not read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
         for batch in batches:
             found = [fingerprint(t, width) for _, t in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
@@ -85,6 +86,7 @@ def _wide(docs: DataFrame, width: int) -> DataFrame:
     of its different shingles, whose differing bits measure the similarity. Without words both are zero."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
         for batch in batches:
             cut, check = [], []
             for _, text in rows_of(batch):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import rows_of
+from tidemark.llm.shared import rows_of, small_batches
 from tidemark.llm.tokens import encoded
 
 SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
@@ -47,8 +47,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
                 yield _batch(part, first)
                 first += size // 4
 
-    rows.mapInArrow(work, SCHEMA).write.options(**WRITER).orc(f"{path}/data")
     spark = docs.sparkSession
+    with small_batches(spark):
+        rows.mapInArrow(work, SCHEMA).write.options(**WRITER).orc(f"{path}/data")
     files = spark.read.schema(SCHEMA).orc(f"{path}/data").select("doc_id", "first", "n_tokens", F.col("_metadata.file_name").alias("file"))
     files.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).write.orc(f"{path}/files")
 

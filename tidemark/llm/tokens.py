@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidemark.llm.shared import worker_table
+
 #: The byte-level tokenizer cuts a text before a blank that stands between two visible characters, around any other
 #: single white space, and before the last one of a run; so pieces cut there are encoded alike alone and in the text.
 _PIECE = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]")
@@ -99,19 +101,9 @@ class Encoder:
                 self.met[at >> 3] |= 1 << (at & 7)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file; its table serves the worker's later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def encoded(rows: Iterable[tuple], path: str, characters: int = 1 << 21) -> Iterator[tuple[tuple, bytes]]:
+def encoded(rows: Iterable[tuple], path: str, characters: int = 1 << 20) -> Iterator[tuple[tuple, bytes]]:
     """(row, ids) of rows whose last field is the text (null: empty), a bounded number of characters at a time."""
-    own, part, size = encoder(path), [], 0
+    own, part, size = worker_table(path, lambda: Encoder(path)), [], 0  # one for each worker: later tasks use its pieces
     for row in rows:
         part.append(row)
         size += len(row[-1] or "")
