@@ -85,12 +85,15 @@ class _Left:
 
 
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths in a sequence, number of such sequences) that pack every piece once.
+    """(lengths in a sequence, number of such sequences) that pack every piece once: best-two-fit, or the greedy filling
+    alone where that needs fewer sequences (as happens with few pieces). A pattern is used as often as the counts allow,
+    so there are some thousand patterns at most for a capacity of 1024, whatever the counts."""
+    return min((_filled(counts, capacity, two) for two in (True, False)), key=lambda found: sum(times for _, times in found))
 
-    Each sequence is filled greedily, the largest piece that fits first. Then its smallest piece makes way for two
-    pieces left that fit the gap and its place more tightly, if there are such. A pattern is used as often as the counts
-    allow, so there are about as many patterns as lengths.
-    """
+
+def _filled(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[list[int], int]]:
+    """Each sequence is filled greedily, the largest piece that fits first. Then (if two) its smallest piece makes way
+    for two pieces left that fit the gap and its place more tightly, if there are such."""
     left, out = _Left(counts), []
     while left.sorted:
         bag: dict[int, int] = {}
@@ -108,7 +111,7 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int
         times = min(left.count[x] // n for x, n in bag.items())
         for x, n in bag.items():
             left.take(x, n * times)
-        if gap and (pair := left.pair(gap + min(bag))) and sum(pair) > (small := min(bag)):
+        if two and gap and (pair := left.pair(gap + min(bag))) and sum(pair) > (small := min(bag)):
             a, b = pair
             swaps = min(times, left.count[a] // 2 if a == b else min(left.count[a], left.count[b]))
             for x in pair:
