@@ -112,20 +112,32 @@ def test_kneser_ney_sums_to_one_and_matches_a_plain_one(spark, max_grams):
 
 
 def test_line_dedup_edge_cases(spark):
-    line = " ".join(f"w{i}" for i in range(25))
-    rows = [(1, f"a\n{line}\nb", "en", "s"), (2, f"{line.upper()}  \nrest", "en", "s"), (3, f"x\n{line}\n{line}", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, "short\nshort", "en", "s"), (7, f"\u00e9\u00e9\n {line}", "en", "s"), (1, f"a\n{line}\nb", "en", "s"), (None, line, "en", "s")]
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"a\n{line}\nb", "en", "s"), (2, f"{line.upper()}  \nrest", "en", "s"), (3, f"x\n{line}\n{line}", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, "short\nshort", "en", "s"), (7, f"\u00e9\u00e9\n {line}", "en", "s"), (1, f"a\n{line}\nb", "en", "s"), (None, line, "en", "s"), (None, "\n\n", "en", "s")]
     got = line_dedup.dedup(edges(spark, rows))
-    assert got.columns == [*[c for c in edges(spark, []).columns if c != "removed"], "removed"]
-    by = {(r["doc_id"], i): (r["text"], [tuple(p) for p in r["removed"]]) for i, r in enumerate(got.orderBy("doc_id").collect())}
-    by = {k[0]: v for k, v in by.items()}
+    assert set(got.columns) == set(edges(spark, []).columns)
+    by = {r["doc_id"]: (r["text"], [tuple(p) for p in r["removed"]]) for r in got.where("doc_id is not null or text <> '\n\n'").collect()}
     n = len(line)
     assert by[1] == (rows[0][1], []) and by[4] == (None, []) and by[5] == ("", []) and by[6] == ("short\nshort", [])
-    assert by[2] == ("rest", [(0, n + 2)]) and by[3] == ("x\n", [(2, 2 + n), (3 + n, 3 + 2 * n)])
+    assert by[2] == ("rest", [(0, n + 3)]) and by[3] == ("x\n", [(2, 3 + 2 * n)])
     assert by[7] == ("\u00e9\u00e9\n", [(3, 4 + n)]) and by[None] == ("", [(0, n)])
     assert got.count() == len(rows)
     assert line_dedup.dedup(edges(spark, [])).count() == 0
 
 
+def test_passages_inside_lines_go_and_common_sentences_stay(spark):
+    passage = " ".join(" ".join(f"p{k}x{i}" for i in range(11)) + "." for k in range(6))
+    rows = [(1, f"Own one. {passage} Common here. More of it.", "en", "s"), (2, f"Another start. {passage} Common here. End of two.", "en", "s"), (3, "Common here. Nothing else.", "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(edges(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Another start. End of two.", 3: rows[2][1]}
+
+
+@pytest.mark.parametrize("unit", sorted(line_dedup.UNITS))
+def test_units_are_the_text(unit):
+    for text in ("", "a", "a. b! \n\n c?\nd", "\n", "one\n\n\ntwo\nthree\n \n four", "a.b.  c.\t"):
+        assert "".join(text[a:b] for a, b, *_ in line_dedup.cut(text, unit)) == text
+
+
 def test_paragraphs(spark):
     one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, f"{one}\n\n{two}", "en", "s"), (2, f"{two}\nmore\n\n{one}", "en", "s")]

@@ -1,4 +1,4 @@
-"""Substring dedup by line or paragraph hashing."""
+"""Substring dedup by line, sentence or paragraph hashing."""
 
 from __future__ import annotations
 
@@ -11,96 +11,115 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import rows_of, stage
+from tidemark.llm.shared import rows_of, stage, worker_table
 
-#: Where texts are cut: at each line end, or at blank lines.
-UNITS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+#: Units of a text, which together are the text: lines; sentences (a line ends one too); or what blank lines part.
+UNITS = {
+    "line": re.compile(r"[^\n]*\n|[^\n]+"),
+    "sentence": re.compile(r"[^\n]*?[.!?][ \t]+|[^\n]*\n|[^\n]+"),
+    "paragraph": re.compile(r"(?:[^\n]*[^ \t\r\n][^\n]*(?:\n|$))+|[^\n]*\n|[^\n]+"),
+}
+#: The id by which documents without an id are ranked: last.
+_LAST = (1 << 63) - 1
 
 
-def normal(unit: bytes) -> bytes:
-    """A-Z in lower case, white space at the ends dropped and each run of it inside one blank."""
-    return b" ".join(unit.lower().split())
+def cut(text: str, unit: str) -> list[tuple[int, int, int, int]]:
+    """(start, stop, words, hash) of each unit. The hash is of the normalised unit: A-Z in lower case, white space at
+    the ends dropped and each run of it inside one blank; it is 0 for a unit without words."""
+    out = []
+    for m in UNITS[unit].finditer(text):
+        words = m.group().encode().lower().split()
+        h = xxhash.xxh3_64_intdigest(b" ".join(words)) if words else 0
+        out.append((m.start(), m.end(), len(words), h - (1 << 64) if h >> 63 else h))
+    return out
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h1, h2, doc_id, digest, start, stop) of each unit of min_words words or more: a 128-bit hash of the normalised
-    unit, its document (by id and the text's hash), and its place in the text in characters."""
-    cut = UNITS[unit]
+def later_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, later): for each document the hashes of its units that a document before it has. Documents rank by id,
+    those without an id last.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for doc, text, digest in rows_of(batch):
-                at = 0
-                for m in [*cut.finditer(text or ""), None]:
-                    stop = m.start() if m else len(text or "")
-                    own = normal((text or "")[at:stop].encode())
-                    if own and own.count(b" ") + 1 >= min_words:
-                        h = xxhash.xxh3_128_digest(own)
-                        for column, x in zip(out, (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, digest, at, stop), strict=True):
-                            column.append(x)
-                    at = m.end() if m else stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h1", "h2", "doc_id", "digest", "start", "stop"])
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col))
-    return rows.mapInArrow(work, "h1 long, h2 long, doc_id long, digest long, start long, stop long")
-
-
-def repeats(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_units, removed) of each document that loses units: removed has the places (start, stop), in
-    characters of the original text and ascending, of all its units that occur earlier. Ranked first is the smallest id
-    (null last), then the smallest text hash, then the first place.
-
-    A unit found in a third of all documents is one row for each task before it is shuffled. Its copies meet its first
-    occurrence in a join of two tables, which Spark can split.
+    A unit found in a third of all documents is one row for each task before it is shuffled; its documents meet its
+    first one in a join of two tables, which Spark can split. Rows are a hash and an id; texts aren't shuffled here.
     """
-    found = stage(units(docs, unit, min_words, id_col, text_col), "units")
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "digest", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(stage(first, "repeated-units"), ["h1", "h2"]).where(rank != F.col("first"))
-    places = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed"))
-    return places
-
 
-def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    out = []
-    for text, places in zip(texts, removed, strict=True):
-        if text is None or places is None or not len(places):
-            out.append(text)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
+        for batch in batches:
+            hashes: list[int] = []
+            ids: list[int] = []
+            for doc, text in rows_of(batch):
+                own = {h for _, _, words, h in cut(text, unit) if words}
+                hashes += own
+                ids += [doc] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64())], ["hash", "doc"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
+    found = stage(rows.mapInArrow(work, "hash long, doc long"), "units")
+    first = found.groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    later = found.join(stage(first, "repeated-units"), "hash").where("doc <> first")
+    return later.groupBy("doc").agg(F.collect_set("hash").alias("later")).select(F.col("doc").alias("doc_id"), "later")
+
+
+def runs(text: str, later: set[int], unit: str, min_words: int) -> list[tuple[int, int]]:
+    """The places (start, stop) to remove: runs of units that are found in a document before or earlier in this text,
+    of min_words words or more together. Units without words neither break a run nor begin or end one."""
+    out, seen = [], set()
+    start = stop = words = 0
+    for a, b, n, h in [*cut(text, unit), (0, 0, 1, None)]:
+        if not n:
             continue
-        kept, at = [], 0
-        for place in places:
-            start, stop = place["start"], place["stop"]
-            kept.append(text[at:start])
-            at = stop + 1 if text[stop : stop + 1] == "\n" else stop  # its line end goes too
-        out.append("".join([*kept, text[at:]]))
-    return pd.Series(out, dtype=object)
+        if h in later or h in seen:
+            start, stop, words = (start if words else a), b, words + n
+        else:
+            if words >= min_words:
+                out.append((start, stop))
+            words = 0
+        seen.add(h)
+    return out
+
 
+def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its text cleaned, and removed: the places (start, stop), in characters of the original text and
+    ascending, that went; empty if none.
 
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text cleaned, and removed: the places in the original text that went, empty if none.
+    Each unit's earliest occurrence stays, by id and then by place. Later ones go if they make up a run of min_words
+    words or more, so that short lines and sentences which many documents have in common stay where they stand alone.
 
-    Null and empty texts stay as they are. Rows that repeat both id and text are one document: each gets its places.
-    Units under min_words words are never removed. A column of docs named removed is replaced.
+    Null and empty texts stay as they are. Rows with one id are one document: what they share with each other stays, as
+    do all rows without an id; what is repeated inside a row goes. A column of docs named removed is replaced.
     """
-    gone = repeats(docs, unit, min_words, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("digest").alias("_tm_digest"), F.col("removed").alias("_tm_removed"))
-    rows = docs.drop("removed").join(gone, F.col(id_col).eqNullSafe(F.col("_tm_id")) & (F.xxhash64(text_col) == F.col("_tm_digest")), "left")
-    places = F.coalesce("_tm_removed", F.array().cast("array<struct<start:long,stop:long>>"))
-    rows = rows.withColumn("removed", places).drop("_tm_id", "_tm_digest", "_tm_removed")
-    return rows.withColumn(text_col, F.when(F.size("removed") > 0, F.pandas_udf(_without, "string")(F.col(text_col), F.col("removed"))).otherwise(F.col(text_col)))
+    gone = later_units(docs, unit, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("later").alias("_tm_later"))
+
+    def clean(texts: pd.Series, later: pd.Series) -> pd.DataFrame:
+        worker_table()
+        rows = []
+        for text, hashes in zip(texts, later, strict=True):
+            places = [] if text is None else runs(text, set() if hashes is None else set(hashes.tolist()), unit, min_words)
+            kept, at = [], 0
+            for start, stop in places:
+                kept.append(text[at:start])
+                at = stop
+            rows.append((text if not places else "".join([*kept, text[at:]]), [{"start": a, "stop": b} for a, b in places]))
+        return pd.DataFrame(rows, columns=["text", "removed"])
+
+    rows = docs.drop("removed").join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_tm_id"), "left")
+    cleaned = F.pandas_udf(clean, "text string, removed array<struct<start:long,stop:long>>")(F.col(text_col), F.col("_tm_later"))
+    rows = rows.withColumn("_tm_clean", cleaned)
+    return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_id", "_tm_later", "_tm_clean")
 
 
 def oracle(documents: str, min_words: int) -> str:
-    """The query over lines in one statement; ids are taken to be distinct."""
+    """The query over sentences in one statement; ids are taken to be distinct."""
     return rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM {documents}),
-p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-        trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS own FROM l),
-r AS (SELECT *, len(string_split(own, ' ')) >= {min_words} AND own <> '' AND row_number() OVER (PARTITION BY own ORDER BY doc_id, start) > 1 AS gone FROM p),
-d AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
-        coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY i) FILTER (WHERE gone), '') AS removed,
-        coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
-      FROM r GROUP BY doc_id)
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^\n]*?[.!?][ \t]+|[^\n]*\n|[^\n]+') AS units FROM {documents}),
+l AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS i FROM s),
+p AS (SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+        trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS own FROM l),
+r AS (SELECT *, CASE WHEN own <> '' THEN row_number() OVER (PARTITION BY own ORDER BY doc_id, i) > 1 END AS later FROM p),
+g AS (SELECT *, count(*) FILTER (WHERE NOT later) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+e AS (SELECT doc_id, run, min(i) AS a, max(i) AS b, min(start) AS start, max(start + length(unit)) AS stop FROM g WHERE later GROUP BY doc_id, run HAVING sum(len(string_split(own, ' '))) >= {min_words}),
+k AS (SELECT g.doc_id, string_agg(unit, '' ORDER BY i) FILTER (WHERE e.run IS NULL OR i NOT BETWEEN a AND b) AS kept FROM g LEFT JOIN e ON g.doc_id = e.doc_id AND g.run = e.run GROUP BY g.doc_id),
+d AS (SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM e GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
        length(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END)::BIGINT AS chars_left, md5(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS text_md5
-FROM {documents} t LEFT JOIN d USING (doc_id)"""
+FROM {documents} t LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)"""
