@@ -23,9 +23,13 @@ def stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 16)
 
 def finished(rows: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all there is, into the session's memory sink: for results of a bounded size, as here. Larger
-    ones go to files by writeStream, with a checkpoint in shared storage."""
+    ones go to files by writeStream. State is kept in the folder that driver and executors share, spark.checkpoint.dir;
+    where that is unset, as in tests, Spark takes a temporary one."""
     name = f"tidemark_{name}_{uuid.uuid4().hex[:8]}"
-    running = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if folder := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{folder.rstrip('/')}/tidemark/{name}")
+    running = writer.start()
     running.awaitTermination()
     return rows.sparkSession.table(name)
 
