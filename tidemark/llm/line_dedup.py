@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import rows_of, stage, worker_table
@@ -19,8 +19,11 @@ UNITS = {
     "sentence": re.compile(r"[^\n]*?[.!?][ \t]+|[^\n]*\n|[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]*[^ \t\r\n][^\n]*(?:\n|$))+|[^\n]*\n|[^\n]+"),
 }
-#: The id by which documents without an id are ranked: last.
-_LAST = (1 << 63) - 1
+
+
+def _rank(id_col: str, text_col: str) -> Column:
+    """A document's rank: its id, or a number above all usual ids from its text's hash where it has none."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text_col), F.lit(1 << 48)))
 
 
 def cut(text: str, unit: str) -> list[tuple[int, int, int, int]]:
@@ -35,8 +38,8 @@ def cut(text: str, unit: str) -> list[tuple[int, int, int, int]]:
 
 
 def later_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, later): for each document the hashes of its units that a document before it has. Documents rank by id,
-    those without an id last.
+    """(doc_id, later): for each document, by rank, the hashes of its units that a document before it has. Documents rank
+    by id, those without an id last, by their text's hash.
 
     A unit found in a third of all documents is one row for each task before it is shuffled; its documents meet its
     first one in a join of two tables, which Spark can split. Rows are a hash and an id; texts aren't shuffled here.
@@ -53,7 +56,7 @@ def later_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id",
                 ids += [doc] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64())], ["hash", "doc"])
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_col)
+    rows = docs.where(F.col(text_col).isNotNull()).select(_rank(id_col, text_col).alias("doc"), text_col)
     found = stage(rows.mapInArrow(work, "hash long, doc long"), "units")
     first = found.groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     later = found.join(stage(first, "repeated-units"), "hash").where("doc <> first")
@@ -85,8 +88,8 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col:
     Each unit's earliest occurrence stays, by id and then by place. Later ones go if they make up a run of min_words
     words or more, so that short lines and sentences which many documents have in common stay where they stand alone.
 
-    Null and empty texts stay as they are. Rows with one id are one document: what they share with each other stays, as
-    do all rows without an id; what is repeated inside a row goes. A column of docs named removed is replaced.
+    Null and empty texts stay as they are. Rows with one id are one document: what they share with each other stays; so
+    are rows without an id with one text. What is repeated inside a row goes. A column of docs named removed is replaced.
     """
     gone = later_units(docs, unit, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("later").alias("_tm_later"))
 
@@ -102,7 +105,7 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col:
             rows.append((text if not places else "".join([*kept, text[at:]]), [{"start": a, "stop": b} for a, b in places]))
         return pd.DataFrame(rows, columns=["text", "removed"])
 
-    rows = docs.drop("removed").join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_tm_id"), "left")
+    rows = docs.drop("removed").join(gone, _rank(id_col, text_col) == F.col("_tm_id"), "left")
     cleaned = F.pandas_udf(clean, "text string, removed array<struct<start:long,stop:long>>")(F.col(text_col), F.col("_tm_later"))
     rows = rows.withColumn("_tm_clean", cleaned)
     return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_id", "_tm_later", "_tm_clean")
