@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +36,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 _BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs started inside hand few rows at a time to Python."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands few rows at a time to Python. It stays so, since a frame that an operator returns
+    is planned with the setting of the time when it runs; results don't depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= _BATCH_ROWS:
+        spark.conf.set(_BATCH, str(_BATCH_ROWS))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back. It cuts the lineage, outlives lost executors, and fixes the
     rows, so that later jobs over the table agree."""
     path = new_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+    small_batches(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -48,8 +48,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
                 first += size // 4
 
     spark = docs.sparkSession
-    with small_batches(spark):
-        rows.mapInArrow(work, SCHEMA).write.options(**WRITER).orc(f"{path}/data")
+    small_batches(spark)
+    rows.mapInArrow(work, SCHEMA).write.options(**WRITER).orc(f"{path}/data")
     files = spark.read.schema(SCHEMA).orc(f"{path}/data").select("doc_id", "first", "n_tokens", F.col("_metadata.file_name").alias("file"))
     files.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).write.orc(f"{path}/files")
 
