@@ -66,10 +66,6 @@ class _Left:
             self.sorted.insert(bisect_right(self.sorted, length), length)
         self.count[length] += n
 
-    def at_most(self, length: int) -> int | None:
-        at = bisect_right(self.sorted, length)
-        return self.sorted[at - 1] if at else None
-
     def pair(self, gap: int) -> tuple[int, int] | None:
         """The two lengths left with the largest sum of at most gap (for one length twice, two must be left)."""
         best, low, high = None, 0, bisect_right(self.sorted, gap) - 1
@@ -80,6 +76,8 @@ class _Left:
             else:
                 if best is None or a + b > sum(best):
                     best = (a, b)
+                    if a + b == gap:
+                        break
                 low += 1
         return best
 
@@ -98,16 +96,13 @@ def _filled(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[list
     while left.sorted:
         bag: dict[int, int] = {}
         gap = capacity
-        while (length := left.at_most(gap)) is not None:
-            n = min(left.count[length] - bag.get(length, 0), gap // length)
-            if n <= 0:  # all of this length are in the bag: the next smaller one
-                smaller = [x for x in left.sorted[: bisect_right(left.sorted, length)] if left.count[x] > bag.get(x, 0) and x <= gap]
-                if not smaller:
-                    break
-                length = smaller[-1]
-                n = min(left.count[length] - bag.get(length, 0), gap // length)
-            bag[length] = bag.get(length, 0) + n
-            gap -= n * length
+        at = bisect_right(left.sorted, gap) - 1
+        while at >= 0:
+            length = left.sorted[at]
+            if n := min(left.count[length] - bag.get(length, 0), gap // length):
+                bag[length] = bag.get(length, 0) + n
+                gap -= n * length
+            at = min(at - 1, bisect_right(left.sorted, gap) - 1)
         times = min(left.count[x] // n for x, n in bag.items())
         for x, n in bag.items():
             left.take(x, n * times)

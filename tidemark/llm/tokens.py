@@ -18,6 +18,8 @@ _OTHER = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 #: Texts without these, in which white space stands alone and inside, can be cut without a regular expression.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\0")
 _LINE_END = "\n"
+#: Marks that end many words; words are then looked up without them.
+_MARKS = ".,;:!?"
 #: Lines encoded as one text; many more take the tokenizer longer a line.
 _LINES = 200
 #: Bits that mark pieces by hash as met before.
@@ -71,16 +73,25 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._pieces(t) for t in texts]
         here = dict.fromkeys(set().union(*cut)) if cut else {}
-        new = []
+        known, new, ended = self.known, set(), []
         for piece in here:
             try:
-                here[piece] = self.known[piece]
+                here[piece] = known[piece]
+                continue
             except KeyError:
-                new.append(piece)
+                stem = piece.rstrip(_MARKS) if self.cuts else piece
+            if stem is not piece and stem[-1:].isalpha():  # the tokenizer cuts between a letter and a mark
+                ended.append((piece, stem, piece[len(stem) :]))
+                new.update(x for x in ended[-1][1:] if x not in known)
+            else:
+                new.add(piece)
         if new:
-            found = self._learn(new)
+            found = self._learn(list(new))
             here.update(found)
             self._keep(found)
+        for piece, stem, marks in ended:
+            first, last = (here[x] if here.get(x) else known.get(x) for x in (stem, marks))
+            here[piece] = None if first is None or last is None else first + last
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             try:
@@ -90,12 +101,12 @@ class Encoder:
         return out
 
     def _keep(self, found: dict[str, bytes | None]) -> None:
-        """Pieces met in two calls go to the table; most pieces of a corpus come once, and would fill it."""
+        """Once the table is half full only pieces met in two calls go there: most of a corpus come once."""
         for piece, ids in found.items():
             if len(self.known) >= self.entries:
                 return
             at = hash(piece) & _MET
-            if self.met[at >> 3] >> (at & 7) & 1:
+            if 2 * len(self.known) < self.entries or self.met[at >> 3] >> (at & 7) & 1:
                 self.known[piece] = ids
             else:
                 self.met[at >> 3] |= 1 << (at & 7)
