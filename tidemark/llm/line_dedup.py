@@ -106,7 +106,9 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col:
         return pd.DataFrame(rows, columns=["text", "removed"])
 
     rows = docs.drop("removed").join(gone, _rank(id_col, text_col) == F.col("_tm_id"), "left")
-    cleaned = F.pandas_udf(clean, "text string, removed array<struct<start:long,stop:long>>")(F.col(text_col), F.col("_tm_later"))
+    # called nondeterministic so that a filter on its result doesn't run it a second time, in workers of its own
+    clean = F.pandas_udf(clean, "text string, removed array<struct<start:long,stop:long>>").asNondeterministic()
+    cleaned = clean(F.col(text_col), F.col("_tm_later"))
     rows = rows.withColumn("_tm_clean", cleaned)
     return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_id", "_tm_later", "_tm_clean")
 

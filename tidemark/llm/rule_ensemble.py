@@ -48,7 +48,7 @@ def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def statistics(text: Column) -> Column:
     """STATISTICS of a whole text as an array of doubles; all 0 for a null or blank one."""
-    return F.pandas_udf(_statistics, "array<double>")(text.cast("binary"))
+    return F.pandas_udf(_statistics, "array<double>").asNondeterministic()(text.cast("binary"))  # so it runs once a row
 
 
 @dataclass(frozen=True)
