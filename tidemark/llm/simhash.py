@@ -77,29 +77,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-#: Longs of the two fingerprints of similar(): 256 bits are cut, 512 bits are verified.
-CUT, CHECK = 4, 8
+#: Longs of the sketch of similar(), and its candidates' fingerprints: so many, each of so many minima.
+CHECK, BANDS, MINIMA = 8, 20, 5
+_TURNS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """BANDS fingerprints of a set of hashes: each is of the set's least hashes in MINIMA random orders. In one order two
+    sets have the same least hash with a probability of their Jaccard similarity, whatever the difference looks like."""
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 4096):
+        least = np.minimum(least, (h[k : k + 4096, None] * _TURNS).min(axis=0))
+    least = least.reshape(BANDS, MINIMA)
+    out = np.zeros(BANDS, np.uint64)
+    for k in range(MINIMA):
+        out = _mixed(out ^ least[:, k], k + 1)
+    return out.view(np.int64)
 
 
 def _wide(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, cut, check): a fingerprint of a text's different words, in which near copies differ by few bits, and one
-    of its different shingles, whose differing bits measure the similarity. Without words both are zero."""
+    """(doc_id, own, high, low, size, check, bands): a hash of the row's text, 128 bits of its words, and of its
+    different shingles the number, a sketch whose differing bits measure the similarity, and the fingerprints by which
+    near copies are found. Without words there are no fingerprints."""
+    names = "doc_id long, own long, high long, low long, size int, check array<long>, bands array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_table()
         for batch in batches:
-            cut, check = [], []
-            for _, text in rows_of(batch):
+            out: list[list] = [[] for _ in range(5)]
+            for _, _, text in rows_of(batch):
                 parts = text.lower().split() if text else []
-                cut.append(_majority(_shingles_once(list(set(parts)), 1), CUT) if parts else [0] * CUT)
-                check.append(_majority(_shingles_once(parts, width), CHECK) if parts else [0] * CHECK)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.int64())), pa.array(check, pa.list_(pa.int64()))], ["doc_id", "cut", "check"])
+                word_hash = xxhash.xxh3_128_digest(b" ".join(parts))
+                shingles = _once(parts, width)
+                row = (*np.frombuffer(word_hash, "<i8").tolist(), len(shingles), _majority(iter([shingles]), CHECK) if parts else [0] * CHECK, _bands(shingles) if parts else [])
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["doc_id", "own", "high", "low", "size", "check", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(work, "doc_id long, cut array<long>, check array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), F.col("text").cast("binary")).mapInArrow(work, names)
 
 
-def _shingles_once(parts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    yield np.unique(np.concatenate(list(_shingles(parts, width))))
+def _once(parts: list[bytes], width: int) -> np.ndarray:
+    """The hashes of the different shingles, ascending."""
+    return np.unique(np.concatenate(list(_shingles(parts, width)))) if parts else np.empty(0, np.uint64)
 
 
 def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
@@ -121,7 +142,11 @@ def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
     buckets = across.select("seg", "v.val", "pos", "rest", "size", "v.side").unionByName(
         counts.where("n > 1").select("seg", "val", F.lit(-1).alias("pos"), F.col("val").alias("rest"), F.col("n").alias("size"), F.lit(0).alias("side"))
     )
-    members = values.join(stage(buckets, "buckets"), ["seg", "val"])
+    return _tile_links(values.join(stage(buckets, "buckets"), ["seg", "val"]), fps, max_bits, tile)
+
+
+def _tile_links(members: DataFrame, fps: DataFrame, max_bits: int, tile: int) -> DataFrame:
+    """The links of near_links from the members of buckets (seg, pos, rest, size, side, node)."""
     tiles = in_tiles(members, "size", ["seg", "pos", "rest"], F.xxhash64("node"), tile)
     keys = ["seg", "pos", "rest", "tile_i", "tile_j"]
     tiles = stage(tiles.select(*keys, "own", "side", "node"), "tiles").join(fps.select("node", "check"), "node")
@@ -147,9 +172,9 @@ def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
     return tiles.mapInArrow(work, "a long, b long")
 
 
-def _components(found: DataFrame, by: list[str], fps: DataFrame, max_bits: int, tile: int) -> DataFrame:
-    """found (doc_id and the columns `by`) with component_id. fps has a row for each distinct `by`, named node."""
-    links = near_links(fps.select("node", "cut", "check"), max_bits, tile)
+def _components(found: DataFrame, by: list[str], fps: DataFrame, links: DataFrame) -> DataFrame:
+    """found (doc_id and the columns `by`) with component_id. fps has a row for each distinct `by`, named node, which
+    links (a, b) connect."""
     component = connected_components(links).select(F.col("node").alias("_node"), F.col("component").alias("root"))
     rooted = fps.join(component, F.col("node") == F.col("_node"), "left").select(*by, "first", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
@@ -171,15 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
     fps = nodes.select("*", F.array("fp").alias("cut"), F.array("fp").alias("check"))
-    return _components(found, ["fp"], fps, max_bits, tile).select("doc_id", "fp", "component_id")
+    links = near_links(fps.select("node", "cut", "check"), max_bits, tile)
+    return _components(found, ["fp"], fps, links).select("doc_id", "fp", "component_id")
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text): near copies by the Jaccard similarity of their
     different word shingles, as measured by the differing bits of a 512-bit SimHash.
 
-    Candidates have a segment of a 256-bit SimHash of their different words with one differing bit at most; at a
-    similarity of 0.8 in shingles of five words that misses about one pair in thirty, fewer above. Two are linked if no
+    Candidates share one of BANDS fingerprints, which depends on their similarity J alone: 1 - (1 - J ** MINIMA) **
+    BANDS of the pairs do, that is all but one in 2,800 at 0.8, wherever and however they differ. Two are linked if no
     more bits differ than 15 in 16 pairs of the similarity have, so pairs just below it may be linked and a few just
     above may not. Other cases are those of near_duplicates.
     """
@@ -187,9 +213,18 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
     share = float(np.arccos(cosine) / np.pi)
     max_bits = int(64 * CHECK * share + 1.5 * np.sqrt(64 * CHECK * share * (1 - share)))
     found = stage(_wide(docs, width), "fingerprints")
-    nodes = found.groupBy("cut", "check").agg(F.min("doc_id").alias("first"))
+    nodes = found.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("check").alias("check"), F.first("bands").alias("bands"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
-    return _components(found, ["cut", "check"], nodes, max_bits, tile).select("doc_id", "component_id")
+    members = _members(nodes).withColumns({"pos": F.lit(-1), "rest": F.col("val"), "side": F.lit(0)})
+    links = _tile_links(members, nodes, max_bits, tile)
+    return _components(found, ["high", "low"], nodes, links).select("doc_id", "component_id")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(seg, val, node, size): the nodes of each fingerprint that several have."""
+    values = nodes.select("node", F.posexplode("bands").alias("seg", "val"))
+    sizes = values.groupBy("seg", "val").agg(F.count("*").alias("size")).where("size > 1")
+    return values.join(stage(sizes, "shared-fingerprints"), ["seg", "val"])
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
