@@ -128,6 +128,28 @@ def test_near_copies_by_one_block_are_candidates(spark, kind):
     assert min(recall.values()) >= 0.98
 
 
+@pytest.mark.parametrize("tile", [3, 256])
+def test_similar_links_by_exact_jaccard(spark, tile):
+    """Families of pairs from 0.6 to 0.95: linked at 0.8 and above, not below; the same for related texts of a family."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for family in range(24):
+        words = [f"w{i}" for i in rng.integers(0, 20_000, 200)]
+        docs.append(words)
+        for similarity in (0.6, 0.7, 0.75, 0.78, 0.79, 0.81, 0.85, 0.95)[family % 4 * 2 :][:2]:
+            docs.append(edited(words, ("cut", "appended", "replaced")[family % 3], similarity, rng))
+    base = [f"b{i}" for i in range(300)]
+    for i in range(20):  # each is 0.8 or more from few others: hubs alone don't connect them
+        docs.append(base[10 * i : 10 * i + 100])
+        docs.append(base[10 * i + 5 : 10 * i + 105])
+    docs += [[f"s{i}" for i in range(n)] for n in (3, 8, 9, 10)]
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if jaccard(docs[i], docs[j]) >= 0.8]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), tile=tile).collect()}
+    assert len(links) > 50
+    assert [got[i] for i in range(len(docs))] == components(len(docs), links)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 50)]

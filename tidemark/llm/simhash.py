@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import Forest, groups, in_tiles, rows_of, stage, worker_table
+from tidemark.llm.shared import Forest, groups, in_tiles, numpy_columns, rows_of, stage, worker_table
 
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one's many times over.
 RUN = 1 << 16
@@ -142,11 +142,7 @@ def near_links(fps: DataFrame, max_bits: int, tile: int = 1024) -> DataFrame:
     buckets = across.select("seg", "v.val", "pos", "rest", "size", "v.side").unionByName(
         counts.where("n > 1").select("seg", "val", F.lit(-1).alias("pos"), F.col("val").alias("rest"), F.col("n").alias("size"), F.lit(0).alias("side"))
     )
-    return _tile_links(values.join(stage(buckets, "buckets"), ["seg", "val"]), fps, max_bits, tile)
-
-
-def _tile_links(members: DataFrame, fps: DataFrame, max_bits: int, tile: int) -> DataFrame:
-    """The links of near_links from the members of buckets (seg, pos, rest, size, side, node)."""
+    members = values.join(stage(buckets, "buckets"), ["seg", "val"])
     tiles = in_tiles(members, "size", ["seg", "pos", "rest"], F.xxhash64("node"), tile)
     keys = ["seg", "pos", "rest", "tile_i", "tile_j"]
     tiles = stage(tiles.select(*keys, "own", "side", "node"), "tiles").join(fps.select("node", "check"), "node")
@@ -200,23 +196,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components(found, ["fp"], fps, links).select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 256) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text): near copies by the Jaccard similarity of their
-    different word shingles, as measured by the differing bits of a 512-bit SimHash.
+    different word shingles. Two are linked if it is `similarity` or more, counted on the shingles' 64-bit hashes.
 
     Candidates share one of BANDS fingerprints, which depends on their similarity J alone: 1 - (1 - J ** MINIMA) **
-    BANDS of the pairs do, that is all but one in 2,800 at 0.8, wherever and however they differ. Two are linked if no
-    more bits differ than 15 in 16 pairs of the similarity have, so pairs just below it may be linked and a few just
-    above may not. Other cases are those of near_duplicates.
+    BANDS of the pairs do, that is all but one in 2,800 at 0.8, wherever and however they differ. Rows with the same
+    words are one node. Other cases are those of near_duplicates.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    max_bits = int(64 * CHECK * share + 1.5 * np.sqrt(64 * CHECK * share * (1 - share)))
     found = stage(_wide(docs, width), "fingerprints")
-    nodes = found.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.first("check").alias("check"), F.first("bands").alias("bands"))
+    nodes = found.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "own")).alias("row"), *(F.first(x).alias(x) for x in ("size", "check", "bands")))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
-    members = _members(nodes).withColumns({"pos": F.lit(-1), "rest": F.col("val"), "side": F.lit(0)})
-    links = _tile_links(members, nodes, max_bits, tile)
+    members = stage(_members(nodes), "members")
+    links = _verified(members, _sets(docs, nodes, members, width), similarity, tile)
     return _components(found, ["high", "low"], nodes, links).select("doc_id", "component_id")
 
 
@@ -227,6 +219,102 @@ def _members(nodes: DataFrame) -> DataFrame:
     return values.join(stage(sizes, "shared-fingerprints"), ["seg", "val"])
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(node, size, check, grams) of the nodes among members, from one row each; grams are the ascending hashes of its
+    different shingles, as bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                grams = [_once(text.lower().split(), width).tobytes() for text in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(grams, pa.binary())], ["node", "size", "check", "grams"])
+
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "size", "check", F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(stage(wanted, "candidates"), (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return stage(rows.select("node", "size", "check", "text").mapInArrow(work, "node long, size int, check array<long>, grams binary"), "shingles")
+
+
+class _Near:
+    """Whether rows (size, check, grams) are near: first by what a similarity needs of the sizes and, where there are
+    many shingles, by a sketch that is 6 deviations off (one pair in a billion), then by the shingles."""
+
+    def __init__(self, similarity: float) -> None:
+        share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+        self.similarity, self.max_bits = similarity, 64 * CHECK * share + 6 * np.sqrt(64 * CHECK * share * (1 - share))
+
+    def likely(self, size_a: np.ndarray, size_b: np.ndarray, check_a: np.ndarray, check_b: np.ndarray) -> np.ndarray:
+        least = np.minimum(size_a, size_b)
+        bits = np.bitwise_count(check_a.view(np.uint64) ^ check_b.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return (least >= self.similarity * np.maximum(size_a, size_b) - 1e-9) & ((least < 64) | (bits <= self.max_bits))
+
+    def sure(self, a: bytes, b: bytes) -> bool:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        same = len(np.intersect1d(a, b, assume_unique=True))
+        return same >= self.similarity * (len(a) + len(b) - same) - 1e-9
+
+
+def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links (a, b) between nodes that connect, by way of others in part, all members (seg, val, node, size) of a bucket
+    that are near.
+
+    Members are compared with their bucket's smallest node first, which is as many pairs as members and connects most
+    groups of copies. Buckets that are not in one component then are compared whole, in tiles, except within components.
+    """
+    near = _Near(similarity)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
+        for batch in batches:
+            a, b, size_a, size_b, check_a, check_b = numpy_columns(batch.select(["a", "b", "size_a", "size_b", "check_a", "check_b"]))
+            if not len(a):
+                continue
+            grams_a, grams_b = batch.column("grams_a"), batch.column("grams_b")
+            at = [i for i in np.flatnonzero(near.likely(size_a, size_b, np.ascontiguousarray(check_a), np.ascontiguousarray(check_b))).tolist() if near.sure(grams_a[i].as_py(), grams_b[i].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64())], ["a", "b"])
+
+    hubs = stage(members.groupBy("seg", "val").agg(F.min("node").alias("hub")), "hubs")
+    stars = stage(members.join(hubs, ["seg", "val"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "check", "grams")))
+    links = stage(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(pairs, "a long, b long"), "star-links")
+
+    component = connected_components(links)
+    named = members.join(component.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = stage(named.select("seg", "val", "node", "root"), "members-named")
+    # buckets with the same members are one
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    apart = named.groupBy("seg", "val").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), *marks).where("size > 2 and least <> most")
+    apart = apart.groupBy("mark1", "mark2", "size").agg(F.min(F.struct("seg", "val")).alias("bucket")).select("bucket.seg", "bucket.val", "size")
+    keys = ["seg", "val", "tile_i", "tile_j"]
+    tiles = in_tiles(named.join(stage(apart, "buckets-apart"), ["seg", "val"]), "size", ["seg", "val"], F.xxhash64("node"), tile)
+    tiles = stage(tiles.select(*keys, "own", "root", "node"), "tiles").join(sets, "node")
+    tiles = tiles.select(*keys, "own", "root", "node", "size", "check", "grams").repartition(*keys).sortWithinPartitions(*keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
+        for _, _, tile_i, tile_j, own, root, node, size, check, grams in groups(batches, 4):
+            check, n = np.ascontiguousarray(check), len(node)
+            forest = Forest(n)
+            _, first, which = np.unique(root, return_index=True, return_inverse=True)
+            forest.link(np.arange(n), first[which])
+            known = forest.root.copy()
+            for k in range(1, n):  # each row with the k-th after it
+                at = np.arange(n - k)
+                if tile_i[0] != tile_j[0]:
+                    at = at[own[at + k] != own[at]]
+                at = at[forest.root[at] != forest.root[at + k]]
+                at = at[near.likely(size[at], size[at + k], check[at], check[at + k])]
+                at = np.array([i for i in at.tolist() if near.sure(grams[i], grams[i + k])], np.int64)
+                forest.link(at, at + k)
+            a = np.flatnonzero(forest.root != known)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[forest.root[a]])], ["a", "b"])
+
+    return links.unionByName(tiles.mapInArrow(work, "a long, b long"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that stay: of each component of similar() the document with the
     smallest id. Rows that repeat an id are one document, of which one row stays; of rows without an id one stays for
