@@ -36,3 +36,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf, capsys):
     plan = capsys.readouterr().out
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(o_orderdate" in plan
     assert "o_custkey" not in plan.split("ReadSchema")[1].splitlines()[0]
+
+
+def test_users_of_many_micro_batches_stay_out_of_the_driver(spark, tmp_path):
+    """40 files are three micro-batches; the last row of each user counts, and no memory sink holds them."""
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 7 AS user_id", "double(id) AS value", "timestamp_ntz'2024-01-01' AS ts")
+    rows.repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {(r["user_id"], r["n"], r["total"]) for r in streams.stream_users(spark, str(tmp_path)).collect()}
+    assert got == {(u, len(range(u, 4000, 7)), float(sum(range(u, 4000, 7)))) for u in range(7)}
+    assert {t.name for t in spark.catalog.listTables()} == before

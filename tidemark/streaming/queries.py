@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,9 +25,9 @@ def stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 16)
 
 
 def finished(rows: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all there is, into the session's memory sink: for results of a bounded size, as here. Larger
-    ones go to files by writeStream. State is kept in the folder that driver and executors share, spark.checkpoint.dir;
-    where that is unset, as in tests, Spark takes a temporary one."""
+    """Runs a stream over all there is, into the session's memory sink: for complete results of a bounded size. Others
+    go to files by written(). State is kept in the folder that driver and executors share, spark.checkpoint.dir; where
+    that is unset, as in tests, Spark takes a temporary one."""
     name = f"tidemark_{name}_{uuid.uuid4().hex[:8]}"
     writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if folder := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
@@ -34,6 +37,29 @@ def finished(rows: DataFrame, mode: str, name: str) -> DataFrame:
     return rows.sparkSession.table(name)
 
 
+def written(rows: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over all there is, into Parquet files of the shared folder, a folder for each micro-batch. The
+    result has the stream's columns and batch, the micro-batch's number; nothing comes to the driver. A micro-batch that
+    runs again replaces its own files."""
+    spark, schema = rows.sparkSession, rows.schema
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    path = f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
+    writer.start().awaitTermination()
+    kind = StructType([*schema.fields, StructField("batch", LongType())])
+    found = spark.createDataFrame([], kind)
+    try:
+        found = spark.read.schema(kind).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    except AnalysisException as missing:  # a stream without rows has no micro-batch
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return found
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type and window. Rows older than the watermark are dropped by Spark."""
     made = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
@@ -56,8 +82,8 @@ def stream_users(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = stream(spark, folder, "events").select("user_id", "value")
     out = rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
-    changes = finished(out, "update", "users")
-    return changes.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+    changes = written(out, "update", "users")
+    return changes.groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 4).alias("total"))
 
 
 QUERIES |= {"stream_tumbling": stream_tumbling, "stream_users": stream_users}
