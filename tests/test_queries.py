@@ -46,3 +46,18 @@ def test_users_of_many_micro_batches_stay_out_of_the_driver(spark, tmp_path):
     got = {(r["user_id"], r["n"], r["total"]) for r in streams.stream_users(spark, str(tmp_path)).collect()}
     assert got == {(u, len(range(u, 4000, 7)), float(sum(range(u, 4000, 7)))) for u in range(7)}
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_grouped_map_has_bounded_frames(spark, tmp_path, monkeypatch):
+    """One event type has all events; no pandas frame gets more than a block of them."""
+    spark.range(1000).selectExpr("id AS event_id", "'view' AS event_type", "double(id + 5) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    whole = relational._above_least
+
+    def bounded(p):
+        assert len(p) <= 100
+        return whole(p)
+
+    monkeypatch.setattr(relational, "BLOCK", 100)
+    monkeypatch.setattr(relational, "_above_least", bounded)
+    got = {r["event_id"]: r["above_least"] for r in relational.udf_grouped_map(spark, str(tmp_path)).collect()}
+    assert got == {i: float(i) for i in range(1000)}

@@ -280,11 +280,22 @@ def udf_scalar(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_type", F.pandas_udf(net, "double")("event_type", "value").alias("net"), "event_id")
 
 
+#: A grouped map gets a frame of so many events at most.
+BLOCK = 10_000
+
+
+def _above_least(p):
+    return p.assign(above_least=p["value"] - p["least"])[["event_type", "event_id", "above_least"]]
+
+
 @query("SELECT event_type, event_id, value - min(value) OVER (PARTITION BY event_type) AS above_least FROM events")
 def udf_grouped_map(spark: SparkSession, sf: str) -> DataFrame:
-    """A grouped map over pandas frames; built-in windows do this better, the query shows the form."""
-    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
-    return rows.groupBy("event_type").applyInPandas(lambda p: p.assign(above_least=p["value"] - p["value"].min())[["event_type", "event_id", "above_least"]], "event_type string, event_id long, above_least double")
+    """A grouped map over pandas frames of bounded size: events of a type whose ids are in one block. The least value of
+    a type is aggregated before and joined; built-in windows do this better, the query shows the form."""
+    rows = table(spark, sf, "events").select("event_type", "event_id", "value", F.floor(F.col("event_id") / BLOCK).alias("block"))
+    least = rows.groupBy(F.col("event_type").alias("least_type")).agg(F.min("value").alias("least"))
+    rows = rows.join(least, F.col("event_type").eqNullSafe(F.col("least_type"))).drop("least_type")
+    return rows.groupBy("event_type", "block").applyInPandas(_above_least, "event_type string, event_id long, above_least double")
 
 
 @query("SELECT doc_id, n::INT AS line_no, length(line)::INT AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)")
