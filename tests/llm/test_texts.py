@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,9 +31,7 @@ def documents(spark, sf):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(queries.TOKENIZER)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(queries.TOKENIZER)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -202,16 +201,21 @@ def test_better_documents_come_first(spark):
 # packing and tokens
 
 
-def test_encoder_is_exact(tokenizer):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_exact(special_as_text):
     import random
 
     random.seed(4)
-    own = Encoder(queries.TOKENIZER, entries=500)
-    letters = "ab'sl .\n\t\r\x0b\x1c\u00a0\u00e91!?  \n\n\u2003\0<|endoftext|>"
-    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 16))) for _ in range(3000)] + ["", "a", " a", "a ", "don't  do\n\n\nit", "<|endoftext|>"]
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    plain.encode_special_tokens = special_as_text
+    own = Encoder(queries.TOKENIZER, entries=500, special_as_text=special_as_text)
+    letters = [*"ab'sl .\n\t\r\x0b\x1c\u00a0\u00e91!?  \n\n\u2003\0\1", "<|endoftext|>"]
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 16))) for _ in range(3000)] + ["", "a", " a", "a ", "don't  do\n\n\nit", "<|endoftext|>", "a <|endoftext|> b", None, "don't. '.s, a.\nb,\n.c"]
+    texts += ["".join(random.choice("ab'c .,!\n\u00e9") for _ in range(random.randint(0, 30))) for _ in range(3000)]
     for k in range(0, len(texts), 100):
-        got = own.encode(texts[k : k + 100])
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k : k + 100]]
+        ids, bounds = own.encode(pa.array(texts[k : k + 100], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts[k : k + 100]]
+    assert own.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def check_packing(got, ids, capacity=1024):
@@ -261,20 +265,57 @@ def test_patterns_pack_every_piece_once(seed):
     assert packing.patterns({}, 100) == []
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_replacements_never_need_more_sequences(seed):
+    rng = np.random.default_rng(seed)
+    counts = {int(x): int(rng.integers(1, 4)) for x in rng.integers(1, 101, rng.integers(1, 40))}
+    used = lambda found: sum(times for _, times in found)
+    assert used(packing.patterns(counts, 100)) <= used(packing._filled(counts, 100, 0)[0])
+
+
 def test_two_take_the_smallest_ones_place():
     """60 + 30 leaves 10; 21 and 19 fill 40 exactly where 30 stood."""
     assert packing.patterns({60: 1, 30: 1, 21: 1, 19: 1}, 100) == [([60, 19, 21], 1), ([30], 1)]
 
 
+def test_pieces_are_packed_with_any_columns_and_more_than_once(spark, monkeypatch):
+    """Repeated rows, full pieces, clashing columns, blocks much smaller than the table; lengths that aren't allowed."""
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    pieces = spark.createDataFrame([(None, n, "x", "y", 1) for n in [100, 100, 60, 30, 21, 19, *[33] * 50, *[1] * 20]], "doc_id long, length long, sequence_id string, offset string, _block int")
+    for _ in range(2):
+        got = packing.pack(pieces, 100).collect()
+        assert Counter(r["length"] for r in got) == Counter(r["length"] for r in pieces.collect()) and got[0].asDict().keys() == {*pieces.columns}
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in sequences.values():
+            assert [a for a, _ in sorted(own)] == np.r_[0, np.cumsum([n for _, n in sorted(own)])[:-1]].tolist() and sum(n for _, n in own) <= 100
+        assert len(sequences) == 21
+    assert packing.pack(pieces.limit(0), 100).count() == 0
+    for bad in (0, 101, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(bad,), (5,)], "length long"), 100)
+
+
 def test_tokens_edge_cases(spark, tokenizer):
-    rows = edges(spark, [r for r in EDGES if r[0] != 9])
-    got = packing.pack_documents(rows, queries.TOKENIZER)
-    assert got.count() == len(EDGES) - 1 and got.agg(F.count_distinct("sequence_id")).first()[0] == 1
+    """Nulls, blanks, repeated rows, a special token's name, a very long text."""
+    texts = Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for d, t, *_ in EDGES)
+    assert any(50256 in ids for _, ids in texts) and max(len(ids) for _, ids in texts) > 200_000
+    rows = edges(spark)
+    got = packing.pack_documents(rows, queries.TOKENIZER).collect()
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for (d, ids), n in texts.items():
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want = [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] * n
+        assert sorted(pieces[d]) == sorted(want)
+    assert max(Counter((r["sequence_id"], r["offset"]) for r in got).values()) == 1
     assert packing.pack_documents(edges(spark, []), queries.TOKENIZER).count() == 0
     path = new_path(spark, "test")
     token_orc.write_tokens(rows, path, queries.TOKENIZER)
     read = token_orc.read_tokens(spark, path)
-    texts = Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for d, t, *_ in EDGES if d != 9)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in read.collect()) == texts
     starts = sorted((r["start"], r["n_tokens"]) for r in read.collect())
     assert [s for s, _ in starts] == np.r_[0, np.cumsum([n for _, n in starts])[:-1]].tolist()
@@ -284,15 +325,45 @@ def test_tokens_edge_cases(spark, tokenizer):
     assert token_orc.read_tokens(spark, empty).count() == 0
 
 
-def test_orc_has_bloom_filters_and_pushes_ids_down(spark, tmp_path, capsys):
-    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
-    token_orc.write_tokens(rows, str(tmp_path / "t"), queries.TOKENIZER, partitions=4)
-    token_orc.read_tokens(spark, str(tmp_path / "t")).where("doc_id = 77").explain("formatted")
+def test_token_starts_hold_in_files_of_any_number(spark, tokenizer):
+    """Several files a task, and more parts than rows; a hot id with one text."""
+    rows = spark.range(300).selectExpr("id % 100 AS doc_id", "concat('word ', id % 100) AS text").unionByName(spark.range(200).selectExpr("cast(null AS long) AS doc_id", "'hot' AS text"))
+    path = new_path(spark, "test")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "9")
+    try:
+        token_orc.write_tokens(rows, path, queries.TOKENIZER, partitions=12)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in token_orc.read_tokens(spark, path).collect())
+    assert [d for _, d, _ in got] == sorted(d for _, d, _ in got)
+    assert [s for s, *_ in got] == np.r_[0, np.cumsum([n for *_, n in got])[:-1]].tolist()
+    hot = spark.read.orc(f"{path}/data").where("doc_id is null").select("part").distinct().count()
+    assert hot > 2
+
+
+def test_orc_files_skip_what_a_lookup_does_not_need(spark, capsys):
+    """Stripes, row groups and Bloom filters are in the files, and a lookup of an id reads few rows."""
+    path = new_path(spark, "test")
+    rows = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    token_orc.write_tokens(rows, path, queries.TOKENIZER, partitions=2)
+    read = token_orc.read_tokens(spark, path)
+    read.where("doc_id = 77").explain("formatted")
     assert "EqualTo(doc_id,77)" in capsys.readouterr().out
-    data = b"".join(p.read_bytes() for p in (tmp_path / "t/data").glob("*.orc"))
-    from pyarrow import orc
-
-    assert sum(orc.ORCFile(p).nrows for p in (tmp_path / "t/data").glob("*.orc")) == 2000 and len(data) > 0
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f.replace("file://", "") for f in spark.read.orc(f"{path}/data").inputFiles()]
+    rows = 0
+    for name in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows += reader.getNumberOfRows()
+        assert reader.getRowIndexStride() == 1000
+        inside = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = Counter((s.getColumn(), s.getKind().toString()) for s in inside.readStripeFooter(stripe).getStreamsList())
+            assert kinds[1, "ROW_INDEX"] == 1 and kinds[1, "BLOOM_FILTER_UTF8"] == 1  # of doc_id, the first column
+        inside.close()
+    assert rows == 20_000
+    assert read.where("doc_id = 78").count() == 1 and read.where("doc_id = 77").count() == 0
 
 
 # classifier

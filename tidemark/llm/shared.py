@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,14 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose master is
+    local (tests) gets a temporary one; on a cluster that is an error, since executors couldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = checkpoint.get()
@@ -36,19 +41,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 _BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands few rows at a time to Python. It stays so, since a frame that an operator returns
-    is planned with the setting of the time when it runs; results don't depend on it."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= _BATCH_ROWS:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, the session hands few rows at a time to Python; results don't depend on it."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= _BATCH_ROWS:
         spark.conf.set(_BATCH, str(_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back. It cuts the lineage, outlives lost executors, and fixes the
     rows, so that later jobs over the table agree."""
     path = new_path(df.sparkSession, name)
-    small_batches(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
