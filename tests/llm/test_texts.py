@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import line_dedup, mixing, packing, perplexity, queries, rule_ensemble, token_orc
 from tidemark.llm.shared import new_path
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import Encoder, encoded
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (4, "one", "en", "b"), (5, "one two\none two\n\n", "de", "b"), (5, "one two\none two\n\n", "de", "b"), (None, "no id", None, "c"), (8, "x  y\x0bz\x1c\u00a0w \u2028 <|endoftext|> #*$%&|<>" * 3, "en", "c"), (9, "w " * 200_000, "en", "a")]
@@ -218,6 +218,18 @@ def test_encoder_is_exact(special_as_text):
     assert own.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+@pytest.mark.parametrize("characters", [1, 7, 50, 10_000])
+def test_texts_are_encoded_in_parts_of_bounded_size(characters, tokenizer):
+    texts = [None, "", "a b", "c" * 40, "", "d e f", None, "g" * 9, *["hi"] * 30]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part, pa.string())], ["i", "t"]) for k in range(0, len(texts), 5) for part in [texts[k : k + 5]]]
+    got, at = [], []
+    for rows, ids, bounds in encoded(iter([*batches, batches[0].slice(0, 0)]), queries.TOKENIZER, 1, 2, characters=characters):
+        assert rows.num_rows == 1 or sum(len(t or "") for t in rows.column(1).to_pylist()) <= characters
+        at += rows.column(0).to_pylist()
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert at == list(range(len(texts))) and got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def check_packing(got, ids, capacity=1024):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:

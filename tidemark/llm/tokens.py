@@ -38,7 +38,7 @@ class Encoder:
     text is its id, or with special_as_text ordinary text. Pieces met before come from a table of about `entries` pieces,
     those not met for long being dropped; the table changes no result, only the time."""
 
-    def __init__(self, path: str, entries: int = 500_000, special_as_text: bool = False) -> None:
+    def __init__(self, path: str, entries: int = 800_000, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
@@ -130,21 +130,34 @@ def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, text: int, end_id: int | None = None, special_as_text: bool = False, characters: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, ids, bounds) of batches whose column `text` has the texts, a bounded number of characters at a time (a
-    longer text alone); ids are each text's and, if given, end_id."""
-    name = f"{path} {special_as_text}"
-    own = worker_table(name, lambda: Encoder(path, special_as_text=special_as_text))  # one for each worker: later tasks use its pieces
+def _parts(batches: Iterator[pa.RecordBatch], text: int, characters: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, with about so many characters at a time in column `text`; a longer text alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
+        start = done = 0
         while start < batch.num_rows:
-            before = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, before + characters, "right")))
-            part = batch.slice(start, stop - start)
-            ids, bounds = own.encode(part.column(text))
-            if end_id is not None:
-                ids = np.insert(ids, bounds[1:], end_id)
-                bounds = bounds + np.arange(len(bounds))
-            yield part, ids, bounds
-            start = stop
+            stop = max(start + (not held), int(np.searchsorted(size, done + characters - total, "right")))
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                total += int(size[stop - 1]) - done
+                start, done = stop, int(size[stop - 1])
+            if start < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, text: int, end_id: int | None = None, special_as_text: bool = False, characters: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, bounds) of batches whose column `text` has the texts, a bounded number of characters at a time; ids
+    are each text's and, if given, end_id. Many texts at a time share more pieces."""
+    name = f"{path} {special_as_text}"
+    own = worker_table(name, lambda: Encoder(path, special_as_text=special_as_text))  # one for each worker: later tasks use its pieces
+    for part in _parts(batches, text, characters):
+        ids, bounds = own.encode(part.column(text))
+        if end_id is not None:
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+        yield part, ids, bounds
