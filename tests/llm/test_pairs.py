@@ -85,12 +85,31 @@ def test_near_copies_stay_once(spark):
             near[k] = "changed"
         docs.append((100 + i, " ".join(near)))
         docs.append((200 + i, " ".join(b)))
-    docs += [(300, None), (301, ""), (None, "no id"), (None, "no id"), (0, docs[0][1])]
+    docs += [(300, None), (301, ""), (None, "no id"), (None, "no id"), (0, docs[0][1]), (None, " ".join(base[3])), (7, "other text of an id")]
     kept = simhash.one_of_each(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, stays string")).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [*((False, i) for i in range(8)), (False, 300), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [*((False, i) for i in range(8)), (False, 7), (False, 300), (True, 0)]
     assert kept[0]["stays"] == "x"
 
 
+def test_documents_are_an_id_with_a_text(spark):
+    """An id with two texts, one of them a copy of another document's."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (None, b), (None, f"{c} d"), (None, None)]
+    kept = simhash.one_of_each(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, own int, first int")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (3, a), (5, b), (9, c)]
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_component_with_few_others_makes_few_rows(spark):
+    """9,000 members of one component and 100 others: each of the former meets the others once."""
+    rows = [(0, 1, i, 0 if i < 9000 else i, 0, 9000, 100) for i in range(9100)]
+    members = spark.createDataFrame(rows, "seg int, val long, node long, root long, large long, n_large long, n_others long")
+    tiles = simhash._tiles(members, 256)
+    assert tiles.count() == 9000 + 100 * 37
+    met = tiles.where("root <> large").select("tile_i", "tile_j", F.col("node").alias("a")).join(tiles.where("root = large").select("tile_i", "tile_j", F.col("node").alias("b")), ["tile_i", "tile_j"])
+    assert met.count() == met.distinct().count() == 9000 * 100
+
+
 def edited(words, kind, similarity, rng):
     """A near copy: words cut off at the end, put before, or replaced in one block, for a similarity of five-word shingles."""
     n = len(words) - 4

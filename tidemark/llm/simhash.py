@@ -197,19 +197,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 256) -> DataFrame:
-    """(doc_id, component_id) of every row of docs (doc_id, text): near copies by the Jaccard similarity of their
-    different word shingles. Two are linked if it is `similarity` or more, counted on the shingles' 64-bit hashes.
+    """(doc_id, own, component_id, first) of every row of docs (doc_id, text): near copies by the Jaccard similarity of
+    their different word shingles. Two are linked if it is `similarity` or more, counted on the shingles' 64-bit hashes.
+    own is a hash of the text; first is true for the component's first document, by id (null last) and own.
 
     Candidates share one of BANDS fingerprints, which depends on their similarity J alone: 1 - (1 - J ** MINIMA) **
     BANDS of the pairs do, that is all but one in 2,800 at 0.8, wherever and however they differ. Rows with the same
     words are one node. Other cases are those of near_duplicates.
     """
     found = stage(_wide(docs, width), "fingerprints")
-    nodes = found.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "own")).alias("row"), *(F.first(x).alias(x) for x in ("size", "check", "bands")))
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "own")
+    nodes = found.groupBy("high", "low").agg(F.min(order).alias("row"), *(F.first(x).alias(x) for x in ("size", "check", "bands")))
+    nodes = stage(nodes.withColumns({"node": F.monotonically_increasing_id(), "first": F.col("row")}), "distinct-fingerprints")
     members = stage(_members(nodes), "members")
     links = _verified(members, _sets(docs, nodes, members, width), similarity, tile)
-    return _components(found, ["high", "low"], nodes, links).select("doc_id", "component_id")
+    named = _components(found, ["high", "low"], nodes, links)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("own") == F.col("component_id.own"))
+    return named.select("doc_id", "own", F.col("component_id.doc_id").alias("component_id"), first.alias("first"))
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -260,8 +264,8 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
     """Links (a, b) between nodes that connect, by way of others in part, all members (seg, val, node, size) of a bucket
     that are near.
 
-    Members are compared with their bucket's smallest node first, which is as many pairs as members and connects most
-    groups of copies. Buckets that are not in one component then are compared whole, in tiles, except within components.
+    Members are compared with their bucket's hub first, which is as many pairs as members and connects most groups of
+    copies. Buckets that are not in one component then are compared in tiles, except within components.
     """
     near = _Near(similarity)
 
@@ -275,7 +279,10 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
             at = [i for i in np.flatnonzero(near.likely(size_a, size_b, np.ascontiguousarray(check_a), np.ascontiguousarray(check_b))).tolist() if near.sure(grams_a[i].as_py(), grams_b[i].as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64())], ["a", "b"])
 
-    hubs = stage(members.groupBy("seg", "val").agg(F.min("node").alias("hub")), "hubs")
+    # the hub is the node with the largest buckets, which is the one most alike the others, so that a group's buckets share it
+    reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
+    hubs = members.join(stage(reach, "reach"), "node").groupBy("seg", "val").agg(F.max(F.struct("reach", (-F.col("node")).alias("own"))).alias("hub"))
+    hubs = stage(hubs.select("seg", "val", (-F.col("hub.own")).alias("hub")), "hubs")
     stars = stage(members.join(hubs, ["seg", "val"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "check", "grams")))
     links = stage(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(pairs, "a long, b long"), "star-links")
@@ -287,8 +294,11 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
     apart = named.groupBy("seg", "val").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), *marks).where("size > 2 and least <> most")
     apart = apart.groupBy("mark1", "mark2", "size").agg(F.min(F.struct("seg", "val")).alias("bucket")).select("bucket.seg", "bucket.val", "size")
+    named = stage(named.join(stage(apart, "buckets-apart"), ["seg", "val"]), "members-apart")
+    roots = named.groupBy("seg", "val", "size", "root").agg(F.count("*").alias("n"))
+    large = roots.groupBy("seg", "val", "size").agg(F.max(F.struct("n", "root")).alias("large")).select("seg", "val", F.col("large.root").alias("large"), F.col("large.n").alias("n_large"), (F.col("size") - F.col("large.n")).alias("n_others"))
     keys = ["seg", "val", "tile_i", "tile_j"]
-    tiles = in_tiles(named.join(stage(apart, "buckets-apart"), ["seg", "val"]), "size", ["seg", "val"], F.xxhash64("node"), tile)
+    tiles = _tiles(named.join(stage(large, "largest-components"), ["seg", "val"]), tile)
     tiles = stage(tiles.select(*keys, "own", "root", "node"), "tiles").join(sets, "node")
     tiles = tiles.select(*keys, "own", "root", "node", "size", "check", "grams").repartition(*keys).sortWithinPartitions(*keys)
 
@@ -315,12 +325,25 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
     return links.unionByName(tiles.mapInArrow(work, "a long, b long"))
 
 
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """Cuts buckets (seg, val) into tiles of bounded size, in which all members of different components meet. A bucket's
+    largest component (large, of n_large members) is dealt into blocks of its own, and those meet only the blocks of the
+    n_others; so a large group with a few other members costs a row for each member, not one for each pair of blocks."""
+    dealt = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(float(tile)))).cast("int")
+    rows = members.withColumns({"others": dealt("n_others"), "blocks": dealt("n_others") + dealt("n_large"), "is_large": F.col("root") == F.col("large")})
+    spread = F.xxhash64("node")
+    own = F.when(F.col("is_large"), F.col("others") + F.pmod(spread, F.col("blocks") - F.col("others"))).otherwise(F.pmod(spread, F.col("others")))
+    last = F.when(F.col("is_large"), F.col("others")).otherwise(F.col("blocks")) - 1
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumns({"tile_i": F.least("own", "other"), "tile_j": F.greatest("own", "other")})
+
+
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that stay: of each component of similar() the document with the
-    smallest id. Rows that repeat an id are one document, of which one row stays; of rows without an id one stays for
-    each text."""
-    named = similar(docs, width, similarity)
-    stay = named.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_tm_stays")).agg(F.count("*").alias("_tm_copies"))
-    kept = docs.join(stage(stay, "stays"), F.col("doc_id") == F.col("_tm_stays"))
-    out = kept.where("_tm_copies = 1").select(*docs.columns).unionByName(kept.where("_tm_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """The rows of docs (doc_id, text and any others) that stay: of each component of similar() the first document, by
+    id (null last) and its text's hash. A document is an id with a text: of rows that repeat both one stays, and rows
+    with one id and different texts are documents of their own."""
+    stay = similar(docs, width, similarity).where("first").groupBy(F.col("doc_id").alias("_tm_id"), F.col("own").alias("_tm_own")).agg(F.count("*").alias("_tm_copies"))
+    rows = docs.withColumn("_tm_text", F.xxhash64("text"))
+    kept = rows.join(stage(stay, "stays"), F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_text") == F.col("_tm_own")))
+    once = kept.where("_tm_copies = 1").select(*docs.columns)
+    return once.unionByName(kept.where("_tm_copies > 1").dropDuplicates(["doc_id", "_tm_own"]).select(*docs.columns))
