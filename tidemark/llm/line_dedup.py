@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import rows_of, stage, worker_table
+from tidemark.llm.shared import rows_of, stage, with_python_column, worker_table
 
 #: Units of a text, which together are the text: lines; sentences (a line ends one too); or what blank lines part.
 UNITS = {
@@ -93,24 +92,17 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col:
     """
     gone = later_units(docs, unit, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("later").alias("_tm_later"))
 
-    def clean(texts: pd.Series, later: pd.Series) -> pd.DataFrame:
-        worker_table()
-        rows = []
-        for text, hashes in zip(texts, later, strict=True):
-            places = [] if text is None else runs(text, set() if hashes is None else set(hashes.tolist()), unit, min_words)
-            kept, at = [], 0
-            for start, stop in places:
-                kept.append(text[at:start])
-                at = stop
-            rows.append((text if not places else "".join([*kept, text[at:]]), [{"start": a, "stop": b} for a, b in places]))
-        return pd.DataFrame(rows, columns=["text", "removed"])
+    def clean(text: str | None, later: list[int] | None) -> dict:
+        places = runs(text, set(later or ()), unit, min_words) if text else []
+        kept, at = [], 0
+        for start, stop in places:
+            kept.append(text[at:start])
+            at = stop
+        return {"text": text if not places else "".join([*kept, text[at:]]), "removed": [{"start": a, "stop": b} for a, b in places]}
 
     rows = docs.drop("removed").join(gone, _rank(id_col, text_col) == F.col("_tm_id"), "left")
-    # called nondeterministic so that a filter on its result doesn't run it a second time, in workers of its own
-    clean = F.pandas_udf(clean, "text string, removed array<struct<start:long,stop:long>>").asNondeterministic()
-    cleaned = clean(F.col(text_col), F.col("_tm_later"))
-    rows = rows.withColumn("_tm_clean", cleaned)
-    return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_id", "_tm_later", "_tm_clean")
+    rows = with_python_column(rows.drop("_tm_id"), "_tm_clean", "struct<text:string,removed:array<struct<start:long,stop:long>>>", [F.col(text_col), F.col("_tm_later")], clean)
+    return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_later", "_tm_clean")
 
 
 def oracle(documents: str, min_words: int) -> str:

@@ -12,15 +12,14 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stage, worker_table
+from tidemark.llm.shared import stage, with_python_column
 
-#: What a text is judged by, in the order of the array that statistics() gives.
+#: What a text is judged by, in the order of the array that with_statistics() gives.
 STATISTICS = ("log_words", "word_bytes", "symbols", "capitals", "exclaims", "digits", "distinct", "commonest", "again", "bars", "repeated_lines", "line_words", "other")
 _SYMBOLS, _CAPITALS, _DIGITS = b"#*$%&|<>{}[]~^_=+@\\", bytes(range(65, 91)), b"0123456789"
 _PLAIN = bytes(range(97, 123)) + _CAPITALS + bytes(range(128, 256)) + b" \n.,"
@@ -40,15 +39,9 @@ def _of(text: bytes | None) -> list[float]:
     ]
 
 
-def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    worker_table()
-    for part in texts:
-        yield pd.Series([_of(t) for t in part], dtype=object)
-
-
-def statistics(text: Column) -> Column:
-    """STATISTICS of a whole text as an array of doubles; all 0 for a null or blank one."""
-    return F.pandas_udf(_statistics, "array<double>").asNondeterministic()(text.cast("binary"))  # so it runs once a row
+def with_statistics(rows: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """rows with STATISTICS of the whole text as an array of doubles in column `name`; all 0 for a null or blank text."""
+    return with_python_column(rows, name, "array<double>", [F.col(text_col).cast("binary")], _of)
 
 
 @dataclass(frozen=True)
@@ -107,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = stage(known.where(place < fraction), "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = stage(rows.select("label", statistics(F.col("text")).alias("stats"), F.xxhash64("doc_id").alias("at")), "training").coalesce(4)
+    rows = stage(with_statistics(rows, "stats").select("label", "stats"), "training").coalesce(4)
     zeros, ones = (rows.where(F.col("label") == x).count() for x in (0.0, 1.0))
     if not zeros or not ones:
         odds = (ones + 1) / (zeros + 1)
@@ -132,6 +125,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     remainder 0 are held out. Null and blank texts have a score like others. Columns of docs named score or predicted
     are replaced."""
     model = fit(docs, labels.where(remainder(F.col("doc_id"), folds) != 0), **how)
-    rows = docs.withColumn("_tm_statistics", statistics(F.col("text")))
+    rows = with_statistics(docs, "_tm_statistics")
     rows = rows.withColumn("score", model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

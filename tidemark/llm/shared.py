@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a run of anything but these ASCII blanks; Python's bytes.split() without arguments cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +95,25 @@ def rows_of(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(k, at_once).columns), strict=True)
 
 
+def with_python_column(df: DataFrame, name: str, kind: str, columns: list[Column], work: Callable[..., object]) -> DataFrame:
+    """df with a column `name` of type `kind`: work of each row's values of `columns`. Python gets few rows at a time as
+    objects, and sees each row once, whatever is filtered later. A column of df with that name is replaced."""
+    own = df.drop(name)
+    inner = own.select("*", *[c.alias(f"_tm_arg{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([*own.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+    target, n = to_arrow_schema(schema).field(name).type, len(own.columns)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                made = [work(*values) for values in zip(*(c.to_pylist() for c in part.columns[n:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(made, target)], names=[*part.schema.names[:n], name])
+
+    return inner.mapInArrow(give, schema)
+
+
 def numpy_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Columns as arrays; a list column with equally long lists as one of two dimensions."""
     out = []
