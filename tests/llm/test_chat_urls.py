@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, url_reputation
+from tidemark.llm import chat, queries, url_reputation
 
 TURNS = "conv_id long, turn long, role string, text string, speaker string, segment int, rank int"
 
@@ -34,6 +35,16 @@ def test_long_dialogues_are_cut_into_segments(spark):
     assert [p.split("<")[0] for p in text.split("\n") if p.startswith("t")] == [f"t{i}" for i in range(300)]
 
 
+def test_turns_with_one_number_go_as_in_sql(spark, tmp_path):
+    """Ties, nulls, repeated turns, names with line ends and a very long text, against the query's SQL."""
+    rows = [(1, 0, "ann", x) for x in "abcdefgh"] + [(1, 0, "ann", "a"), (1, None, None, None), (1, 1, "b\nob\r", "x"), (1, 1, "unknown", "x" * 300_000), (2, 0, "ann", "hi")] + [(3, 5, "ann", "same")] * 130
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_chat_perspectives(spark, str(tmp_path)).toPandas()
+    want = duckdb.sql(queries.chat.oracle(f"'{tmp_path}/conversations.parquet/*.parquet'")).df()
+    key = lambda t: sorted(map(tuple, t[sorted(t.columns)].astype(str).values.tolist()))
+    assert key(got) == key(want)
+
+
 URLS = [
     ("http://A.B.example.net/en/x?q#f", "a.b.example.net", "/en/x"), ("https://h.org", "h.org", ""), ("x://h?a://b/", "h", ""), ("no-scheme.net/en/", "", ""), (None, "", ""), ("", "", ""),
     ("http://\u00c4.net/\n/p#x", "\u00c4.net", "/\n/p"), ("http://u:p@h.net:80/", "u:p@h.net:80", "/"),
@@ -65,8 +76,37 @@ def test_reputation_shrinks(spark):
     assert {r["upper"] for r in url_reputation.reputation(df.withColumn("outcome", F.lit(None).cast("long"))).collect()} == {1.0}
 
 
+DOMAINS = [("a.b.example.co.uk", "example.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("u@h.example.com:80", "example.com", "com"), ("1.2.3.4:8", "1.2.3.4", "1.2.3.4"), ("[::1]", "[::1]", "[::1]"), ("localhost", "localhost", "localhost"), ("", "", "")]
+
+
+@pytest.mark.parametrize("host,domain,suffix", DOMAINS)
+def test_registered_domains(spark, host, domain, suffix):
+    own = url_reputation.domain_of(F.col("h"))
+    assert tuple(spark.createDataFrame([(host,)], "h string").select(own, url_reputation.suffix_of(own)).first()) == (domain, suffix)
+
+
+def planted_pages(spark):
+    prose = "<html><body><nav><a href='/x'>home</a></nav><p>" + "some plain words of a page " * 20 + "</p></body></html>"
+    bad = ["<p>" + "buy | now $$$ " * 60 + "</p>", "<p>" + "WIN MONEY TODAY " * 60 + "</p>", "".join(f"<a href='/{i}'>some link here</a> " for i in range(60)), "<script>" + "x " * 500 + "</script><p>short</p>"]
+    rows = [(f"http://www{i % 7}.fine{i % 5}.com/{i}", prose if i % 12 else bad[i % 4]) for i in range(1400)]
+    rows += [(f"http://casino{i % 3}.example.com/{i}", bad[i % 4]) for i in range(150)]
+    rows += [(f"http://a.spam.co.uk/{i}", bad[i % 4]) for i in range(80)] + [(f"http://b.good.co.uk/{i}", prose) for i in range(80)] + [("http://new.spam.co.uk/", None), ("http://1.2.3.4/", prose), (None, prose), ("x", None)]
+    rows += [(f"http://casino0.example.com/de/{i}", prose) for i in range(2)] + [("http://casino1.net/fr", bad[0])] + [("http://long.org/", "word " * 200_000)]
+    return spark.createDataFrame([(i, u, h, "x") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, host string")
+
+
+def test_reputation_blocks_bad_hosts_as_in_sql(spark, tmp_path):
+    planted_pages(spark).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op8_url_reputation(spark, str(tmp_path)).toPandas()
+    want = duckdb.sql(url_reputation.oracle(f"'{tmp_path}/pages.parquet/*.parquet'", queries.RULES)).df()
+    key = lambda t: sorted(map(tuple, t[["page_id", "host", "path", "rule", "verdict"]].astype(object).where(t.notna(), None).astype(str).values.tolist()))
+    assert key(got) == key(want)
+    blocked = got[got["rule"].isna() & (got["verdict"] == "block")]
+    assert set(blocked["host"]) == {"casino0.example.com", "casino1.example.com", "casino2.example.com", "a.spam.co.uk", "new.spam.co.uk"}
+
+
 def test_judge_edge_cases(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "http://h.com/", "<p>t</p>", "x"), (None, "http://h.com/", None, "x"), (4, "", "", "x")], "page_id long, url string, html string, host string")
-    got = url_reputation.judge(pages, url_reputation.has_content(F.col("html"), 5), ())
+    got = url_reputation.judge(pages, url_reputation.good_page(F.col("html")), ())
     assert got.count() == 4 and {r["verdict"] for r in got.collect()} == {"allow"}
-    assert url_reputation.judge(pages.limit(0), url_reputation.has_content(F.col("html"), 5), ()).count() == 0
+    assert url_reputation.judge(pages.limit(0), url_reputation.good_page(F.col("html")), ()).count() == 0

@@ -14,15 +14,15 @@ TURNS = 64
 
 def numbered(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, speaker, text) with rank: a turn's number in its conversation, by turn (null last),
-    speaker and text.
+    speaker and the text's MD5; turns with all of these equal are alike.
 
     Turns are sorted by range over all conversations, and a conversation's turns in one range are numbered from those in
     the ranges before, so a conversation with a third of all turns is as many tasks' work.
     """
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("speaker").asc(), F.col("text").asc()]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("speaker").asc(), F.col("digest").asc()]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.withColumn("digest", F.xxhash64("text")).repartitionByRange(parts, F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), "speaker", "digest")
-    rows = rows.sortWithinPartitions(*order[:3], "digest").drop("digest")
+    rows = turns.withColumns({"digest": F.md5("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(parts, *order, "row")  # the row's number deals out equal turns
+    rows = rows.sortWithinPartitions(*order).drop("digest", "row")
     rows = stage(rows.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "turns")
     parts = rows.groupBy("conv_id", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -44,10 +44,11 @@ def perspectives(turns: DataFrame, system: str = "system", conv_col: str = "conv
     (start, stop), in characters of the segment, of what the speaker says with its end mark: what is trained on. So a
     dialogue of any length needs bounded memory, and the work grows with turns times participants, which is the result.
 
-    A null speaker is named unknown, a null text is empty, a null conversation is one of its own. Turns that repeat are
-    turns; equal ones keep any order. Dialogues of the system alone have no participant and give nothing.
+    A null speaker is the one named unknown, a null text is empty, a null conversation is one of its own. Line ends in a
+    speaker's name become blanks, so that a name can't add to the format. Turns that repeat are turns; those with one
+    number and speaker go by their text's MD5. Dialogues of the system alone have no participant and give nothing.
     """
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), safe(F.coalesce(F.col(speaker_col), F.lit("unknown"))).alias("speaker"), safe(F.col(text_col)).alias("text"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.translate(safe(F.coalesce(F.col(speaker_col), F.lit("unknown"))), "\n\r", "  ").alias("speaker"), safe(F.col(text_col)).alias("text"))
     rows = numbered(rows).withColumn("segment", F.floor(F.col("rank") / TURNS).cast("long"))
     own = F.sort_array(F.collect_list(F.struct("rank", "speaker", "text")))
     segments = rows.groupBy("conv_id", "segment").agg(own.alias("turns"))
@@ -73,8 +74,8 @@ def perspectives(turns: DataFrame, system: str = "system", conv_col: str = "conv
 def oracle(conversations: str, system: str = "system") -> str:
     """The query over conversations in one statement, with a sort of whole conversations."""
     return f"""
-WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM {conversations}),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, text) - 1 AS rank FROM t),
+WITH t AS (SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM {conversations}),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, md5(text)) - 1 AS rank FROM t),
 p AS (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker <> '{system}'),
 v AS (SELECT r.conv_id, p.speaker, r.rank // {TURNS} AS segment, r.rank, r.speaker = p.speaker AS own,
         '{OPEN}' || CASE WHEN r.speaker = '{system}' THEN 'system' WHEN r.speaker = p.speaker THEN 'assistant' ELSE 'user name=' || r.speaker END || chr(10) || r.text || '{CLOSE.strip()}' || chr(10) AS part

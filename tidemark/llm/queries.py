@@ -62,12 +62,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A page's outcome is good if it has so many characters of text.
-CONTENT = 1000
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_reputation.judge(table(spark, sf_dir, "pages"), url_reputation.has_content(F.col("html"), CONTENT), RULES, least_upper=0.5, z=3.0)
+    found = url_reputation.judge(table(spark, sf_dir, "pages"), url_reputation.good_page(F.col("html")), RULES)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -97,5 +95,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.oracle("documents", RUN_WORDS),
     "op4_mix_sources": mixing.oracle("documents", **MIX),
     "op6_chat_perspectives": chat.oracle("conversations"),
-    "op8_url_reputation": url_reputation.oracle("pages", RULES, CONTENT),
+    "op8_url_reputation": url_reputation.oracle("pages", RULES),
 }

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stage
+from tidemark.llm.shared import BLANKS, n_words, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bounds of a level's share of variance: below, its groups are as one; above, they tell nothing of each other.
@@ -26,14 +26,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels of the host, without user and port; a host of one label is its own."""
-    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    return F.regexp_extract(bare, r"([^.]*\.)?[^.]*$", 0)
+#: Suffixes of two labels under which names are registered; a shortened list, callers give a longer one.
+SUFFIXES = ("ac.jp", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "go.jp", "gov.au", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
 
-def suffix_of(domain: Column) -> Column:
-    return F.regexp_extract(domain, r"[^.]*$", 0)
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9.]+$|^\[")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: one label before the host's suffix, without user and port. A host of one label is its own,
+    and so is a numeric address."""
+    bare = _bare(host)
+    three = F.regexp_extract(bare, r"([^.]*\.)?[^.]*\.[^.]*$", 0)
+    two = F.regexp_extract(bare, r"([^.]*\.)?[^.]*$", 0)
+    return F.when(_is_address(bare), bare).when(two.isin(list(suffixes)), three).otherwise(two)
+
+
+def suffix_of(domain: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The last label of a domain, or the last two where they are in the list; a numeric address is its own."""
+    two = F.regexp_extract(domain, r"([^.]*\.)?[^.]*$", 0)
+    return F.when(_is_address(domain), domain).when(two.isin(list(suffixes)), two).otherwise(F.regexp_extract(domain, r"[^.]*$", 0))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -48,10 +65,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def has_content(html: Column, least: int) -> Column:
-    """1 if a page has at least so many characters outside of tags, scripts and styles, else 0; null for a null page."""
-    plain = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", "")
-    return (F.length(F.trim(plain)) >= least).cast("int")
+#: A good page's text: words at least, and of its characters the share of symbols, capitals and links' text at most.
+LEAST_WORDS, MOST_SYMBOLS, MOST_CAPITALS, MOST_LINKS = 50, 0.02, 0.3, 0.5
+_TAGS = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
+_LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+
+
+def good_page(html: Column) -> Column:
+    """1 if a page's text outside of tags, scripts and styles is prose by the shares above, else 0; null for a null page.
+    Callers with labelled pages give that column to judge() instead."""
+    text = F.regexp_replace(html, _TAGS, " ")
+    linked = F.regexp_replace(F.array_join(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), " "), _TAGS, " ")
+    chars = F.length(F.regexp_replace(text, BLANKS, ""))
+    kept = lambda what: F.length(F.regexp_replace(text, what, ""))
+    good = (n_words(text) >= LEAST_WORDS) & (kept("[^#*$%&|<>{}]") <= MOST_SYMBOLS * chars) & (kept("[^A-Z]") <= MOST_CAPITALS * chars) & (F.length(F.regexp_replace(linked, BLANKS, "")) <= MOST_LINKS * chars)
+    return F.when(html.isNotNull(), good.cast("int"))
 
 
 def _rho(groups: DataFrame, mean: str) -> float:
@@ -62,21 +90,21 @@ def _rho(groups: DataFrame, mean: str) -> float:
     return min(max(row[0] / row[1] if row[1] else UNKNOWN_RHO, RHO[0]), RHO[1])
 
 
-def reputation(outcomes: DataFrame, z: float = 3.0) -> DataFrame:
-    """(host, n, good, mean, upper) of every host in outcomes (host, outcome 1, 0 or null; nulls don't count).
+def reputation(outcomes: DataFrame, z: float = 3.0, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(host, n, good, mean, upper, all_mean) of every host in outcomes (host, outcome 1, 0 or null; nulls don't count).
 
-    A suffix's mean is shrunk to that of all pages (with one good and one bad page added, so that it is no certainty), a registered domain's to its suffix's, and the host's posterior is a
-    beta distribution whose prior has its domain's mean; the strengths of the three priors come from the data by the
-    beta-binomial's moments. upper is the posterior mean plus z standard deviations. Outcomes are summed by host before
-    they are shuffled, so a host with a third of the pages costs no more than others; what follows is as long as the
-    list of hosts.
+    A suffix's mean is shrunk to that of all pages (with one good and one bad page added, so that it is no certainty), a
+    registered domain's to its suffix's, and the host's posterior is a beta distribution whose prior has its domain's
+    mean; the strengths of the three priors come from the data by the beta-binomial's moments. upper is the posterior
+    mean plus z standard deviations, all_mean the mean of all pages. Outcomes are summed by host before they are
+    shuffled, so a host with a third of the pages costs no more than others; what follows is as long as the list of hosts.
     """
     hosts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("good"))
-    hosts = stage(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
+    hosts = stage(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("domain"), suffixes)), "hosts")
     total = lambda by: hosts.groupBy(by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     if not n:  # without outcomes all hosts are as good as they can be
-        return hosts.select("host", "n", "good", F.lit(1.0).alias("mean"), F.lit(1.0).alias("upper"))
+        return hosts.select("host", "n", "good", F.lit(1.0).alias("mean"), F.lit(1.0).alias("upper"), F.lit(1.0).alias("all_mean"))
     rate = lambda g: g.withColumn("rate", F.col("good") / F.nullif(F.col("n"), F.lit(0)))
     strength = lambda rho: 1 / rho - 1
     suffixes = total("suffix").withColumn("parent", F.lit((good + 1) / (n + 2)))
@@ -91,45 +119,55 @@ def reputation(outcomes: DataFrame, z: float = 3.0) -> DataFrame:
     k = strength(_rho(hosts, "parent"))
     a, b = F.col("good") + k * F.col("domain_mean"), F.col("n") - F.col("good") + k * (1 - F.col("domain_mean"))
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", "n", "good", (a / (a + b)).alias("mean"), (a / (a + b) + z * deviation).alias("upper"))
+    return hosts.select("host", "n", "good", (a / (a + b)).alias("mean"), (a / (a + b) + z * deviation).alias("upper"), F.lit((good + 1) / (n + 2)).alias("all_mean"))
 
 
-def judge(pages: DataFrame, outcome: Column, rules: Sequence[tuple[str, str]], least_upper: float = 0.5, z: float = 3.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcome: Column, rules: Sequence[tuple[str, str]], share: float = 0.8, z: float = 3.0, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, mean, upper) of every row of pages. verdict is the longest fitting rule's,
-    else block for hosts whose share of good pages is below least_upper even at the upper posterior bound, else allow.
+    else block for hosts whose share of good pages is, even at the upper posterior bound, below `share` of that of all
+    pages, else allow. So hosts are blocked for being worse than the rest, whatever the rest is like.
 
     A null url, or one without ://, has an empty host and path; such rows share one reputation. Rows that repeat an id
     are pages like others; an empty table gives an empty result.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    known = stage(reputation(pages.select(host.alias("host"), outcome.cast("long").alias("outcome")), z), "reputation")
+    known = stage(reputation(pages.select(host.alias("host"), outcome.cast("long").alias("outcome")), z, suffixes), "reputation")
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.join(known.select("host", "mean", "upper"), "host")
-    own = F.when(F.col("upper") < least_upper, "block").otherwise("allow")
+    rows = rows.join(known.select("host", "mean", "upper", "all_mean"), "host")
+    own = F.when(F.col("upper") < share * F.col("all_mean"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mean", "upper")
 
 
-def oracle(pages: str, rules: Sequence[tuple[str, str]], content: int, least_upper: float = 0.5, z: float = 3.0) -> str:
+def oracle(pages: str, rules: Sequence[tuple[str, str]], share: float = 0.8, z: float = 3.0) -> str:
     """The query over pages in one statement."""
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
     by_length = sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True)
     case = lambda give: "CASE " + " ".join(f"WHEN {fits(text)} THEN '{give(what, text)}'" for what, text in by_length) + " END"
     rho = lambda table: f"(SELECT coalesce(1 / least(greatest(sum(n * (good / n - parent) * (good / n - parent) - parent * (1 - parent)) / nullif(sum(parent * (1 - parent) * (n - 1)), 0), {RHO[0]}), {RHO[1]}), {1 / UNKNOWN_RHO}) - 1 FROM {table} WHERE n > 0)"
+    link = _LINK.removeprefix('(?is)')
+    tags, address, listed = _TAGS.removeprefix('(?is)'), r"regexp_matches(bare, '^[0-9.]+$|^\[')", ", ".join(f"'{x}'" for x in SUFFIXES)
     return rf"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-         (length(trim(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', '', 'gis'))) >= {content})::INT AS outcome
+         regexp_replace(html, '{tags}', ' ', 'gis') AS text,
+         regexp_replace(array_to_string(regexp_extract_all(html, '{link}', 1, 'is'), ' '), '{tags}', ' ', 'gis') AS linked
   FROM {pages}),
-h AS (SELECT host, regexp_extract(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '([^.]*\.)?[^.]*$') AS domain, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS good FROM u GROUP BY host),
-x AS (SELECT *, regexp_extract(domain, '[^.]*$') AS suffix FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM x) AS parent FROM x GROUP BY suffix),
+c AS (SELECT *, length(regexp_replace(text, '[ \t-\r]+', '', 'g')) AS chars FROM u),
+o AS (SELECT page_id, host, path, (len(regexp_extract_all(text, '[^ \t-\r]+')) >= {LEAST_WORDS} AND length(regexp_replace(text, '[^#*$%&|<>{{}}]', '', 'g')) <= {MOST_SYMBOLS}::DOUBLE * chars
+        AND length(regexp_replace(text, '[^A-Z]', '', 'g')) <= {MOST_CAPITALS}::DOUBLE * chars AND length(regexp_replace(linked, '[ \t-\r]+', '', 'g')) <= {MOST_LINKS}::DOUBLE * chars)::INT AS outcome FROM c),
+h AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS good FROM o GROUP BY host),
+b AS (SELECT *, regexp_extract(bare, '([^.]*\.)?[^.]*$') AS two FROM h),
+x AS (SELECT *, CASE WHEN {address} THEN bare WHEN two IN ({listed}) THEN regexp_extract(bare, '([^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain,
+        CASE WHEN {address} THEN bare WHEN two IN ({listed}) THEN two ELSE regexp_extract(bare, '[^.]*$') END AS suffix FROM b),
+e AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS all_mean FROM x),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT all_mean FROM e) AS parent FROM x GROUP BY suffix),
 s2 AS (SELECT suffix, coalesce(good / nullif(n, 0), parent) AS rate, (good + {rho('s')} * parent) / (n + {rho('s')}) AS mean FROM s),
 d AS (SELECT domain, suffix, sum(x.n) AS n, sum(x.good) AS good, any_value(s2.rate) AS parent, any_value(s2.mean) AS above FROM x JOIN s2 USING (suffix) GROUP BY domain, suffix),
 d2 AS (SELECT domain, coalesce(good / nullif(n, 0), parent) AS rate, (good + {rho('d')} * above) / (n + {rho('d')}) AS mean FROM d),
 g AS (SELECT x.*, d2.rate AS parent, d2.mean AS above FROM x JOIN d2 USING (domain)),
 p AS (SELECT host, good + {rho('g')} * above AS a, n - good + {rho('g')} * (1 - above) AS b FROM g),
-v AS (SELECT host, CASE WHEN a / (a + b) + {float(z)} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {least_upper} THEN 'block' ELSE 'allow' END AS own FROM p)
+v AS (SELECT host, CASE WHEN a / (a + b) + {float(z)} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {float(share)}::DOUBLE * (SELECT all_mean FROM e) THEN 'block' ELSE 'allow' END AS own FROM p)
 SELECT page_id, host, path, {case(lambda what, text: text)} AS rule, coalesce({case(lambda what, text: what)}, own) AS verdict
-FROM u JOIN v USING (host)"""
+FROM o JOIN v USING (host)"""
