@@ -37,3 +37,21 @@ def test_repeated_documents_and_passages_go(spark, sf):
     assert sorted(r["doc_id"] for r in near.where("doc_id >= 10000").collect()) == [10_000, 10_003, 10_004]
     cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplicated(spark, near, sf).where("doc_id >= 10000").collect()}
     assert passage in cut[10_003] and cut[10_004] == " ".join(f"second{i}" for i in range(90))
+
+
+def test_stages_take_nulls_repeats_and_other_columns(spark, sf):
+    """Nulls in every column, blank and very long texts, repeated ids and rows, columns named like the operators' own,
+    without n_chars; and an empty table."""
+    rows = [(1, None, "en", "a"), (None, "no id " * 30, None, None), (None, "no id " * 30, None, None), (3, "", "en", "a"), (4, " \n", None, "b"), (5, "some words of a text. " * 20, "en", "b"), (5, "quite other words here. " * 20, "en", "a"), (5, "quite other words here. " * 20, "en", "a"), (9, " ".join(f"w{i}" for i in range(60_000)), "en", "a"), (None, None, None, None)]
+    names = "doc_id long, text string, lang string, source string, removed string, score int, size string, first int, own string, length string, node int"
+    full = spark.createDataFrame([(*r, "x", 1, "x", 1, "x", "x", 1) for r in rows], names)
+    for docs in (full, full.limit(0)):
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            own = step(spark, docs, sf)
+            assert own.columns == docs.columns, name
+            got = [r["removed"] for r in own.collect()]
+            assert (got == []) if docs is not full else set(got) <= {"x"}, name
+        near = sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in corpus_pipeline.near_deduplicated(spark, docs, sf).collect())
+        assert near == ([] if docs is not full else [(0, "no id"), (1, ""), (5, "quite"), (5, "some "), (9, "w0 w1")])
+        packed = corpus_pipeline.packed(spark, docs, sf).collect()
+        assert len([r for r in packed if r["piece"] == 0]) == (0 if docs is not full else len(rows))

@@ -80,15 +80,15 @@ def runs(text: str, later: set[int], unit: str, min_words: int) -> list[tuple[in
     return out
 
 
-def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text cleaned, and removed: the places (start, stop), in characters of the original text and
+def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", places_col: str = "removed") -> DataFrame:
+    """docs with its text cleaned, and places_col: the places (start, stop), in characters of the original text and
     ascending, that went; empty if none.
 
     Each unit's earliest occurrence stays, by id and then by place. Later ones go if they make up a run of min_words
     words or more, so that short lines and sentences which many documents have in common stay where they stand alone.
 
     Null and empty texts stay as they are. Rows with one id are one document: what they share with each other stays; so
-    are rows without an id with one text. What is repeated inside a row goes. A column of docs named removed is replaced.
+    are rows without an id with one text. What is repeated inside a row goes. A column of docs named like places_col is replaced.
     """
     gone = later_units(docs, unit, id_col, text_col).select(F.col("doc_id").alias("_tm_id"), F.col("later").alias("_tm_later"))
 
@@ -100,9 +100,9 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 25, id_col:
             at = stop
         return {"text": text if not places else "".join([*kept, text[at:]]), "removed": [{"start": a, "stop": b} for a, b in places]}
 
-    rows = docs.drop("removed").join(gone, _rank(id_col, text_col) == F.col("_tm_id"), "left")
+    rows = docs.drop(places_col).join(gone, _rank(id_col, text_col) == F.col("_tm_id"), "left")
     rows = with_python_column(rows.drop("_tm_id"), "_tm_clean", "struct<text:string,removed:array<struct<start:long,stop:long>>>", [F.col(text_col), F.col("_tm_later")], clean)
-    return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn("removed", F.col("_tm_clean.removed")).drop("_tm_later", "_tm_clean")
+    return rows.withColumn(text_col, F.col("_tm_clean.text")).withColumn(places_col, F.col("_tm_clean.removed")).drop("_tm_later", "_tm_clean")
 
 
 def oracle(documents: str, min_words: int) -> str:

@@ -120,11 +120,11 @@ def remainder(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(-1)).cast("int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **how) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, score_col: str = "score", predicted_col: str = "predicted", **how) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold, else 0) for every row; labels whose id has
-    remainder 0 are held out. Null and blank texts have a score like others. Columns of docs named score or predicted
-    are replaced."""
+    remainder 0 are held out. Null and blank texts have a score like others. Columns of docs with these
+    two names are replaced."""
     model = fit(docs, labels.where(remainder(F.col("doc_id"), folds) != 0), **how)
     rows = with_statistics(docs, "_tm_statistics")
-    rows = rows.withColumn("score", model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
-    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    rows = rows.withColumn(score_col, model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
+    return rows.withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0))

@@ -78,7 +78,7 @@ def good_page(html: Column) -> Column:
     linked = F.regexp_replace(F.array_join(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), " "), _TAGS, " ")
     chars = F.length(F.regexp_replace(text, BLANKS, ""))
     kept = lambda what: F.length(F.regexp_replace(text, what, ""))
-    good = (n_words(text) >= LEAST_WORDS) & (kept("[^#*$%&|<>{}]") <= MOST_SYMBOLS * chars) & (kept("[^A-Z]") <= MOST_CAPITALS * chars) & (F.length(F.regexp_replace(linked, BLANKS, "")) <= MOST_LINKS * chars)
+    good = (n_words(text) >= LEAST_WORDS) & (kept("[^#*$%&|<>{}]+") <= MOST_SYMBOLS * chars) & (kept("[^A-Z]+") <= MOST_CAPITALS * chars) & (F.length(F.regexp_replace(linked, BLANKS, "")) <= MOST_LINKS * chars)
     return F.when(html.isNotNull(), good.cast("int"))
 
 
@@ -155,8 +155,8 @@ WITH u AS (
          regexp_replace(array_to_string(regexp_extract_all(html, '{link}', 1, 'is'), ' '), '{tags}', ' ', 'gis') AS linked
   FROM {pages}),
 c AS (SELECT *, length(regexp_replace(text, '[ \t-\r]+', '', 'g')) AS chars FROM u),
-o AS (SELECT page_id, host, path, (len(regexp_extract_all(text, '[^ \t-\r]+')) >= {LEAST_WORDS} AND length(regexp_replace(text, '[^#*$%&|<>{{}}]', '', 'g')) <= {MOST_SYMBOLS}::DOUBLE * chars
-        AND length(regexp_replace(text, '[^A-Z]', '', 'g')) <= {MOST_CAPITALS}::DOUBLE * chars AND length(regexp_replace(linked, '[ \t-\r]+', '', 'g')) <= {MOST_LINKS}::DOUBLE * chars)::INT AS outcome FROM c),
+o AS (SELECT page_id, host, path, (len(regexp_extract_all(text, '[^ \t-\r]+')) >= {LEAST_WORDS} AND length(regexp_replace(text, '[^#*$%&|<>{{}}]+', '', 'g')) <= {MOST_SYMBOLS}::DOUBLE * chars
+        AND length(regexp_replace(text, '[^A-Z]+', '', 'g')) <= {MOST_CAPITALS}::DOUBLE * chars AND length(regexp_replace(linked, '[ \t-\r]+', '', 'g')) <= {MOST_LINKS}::DOUBLE * chars)::INT AS outcome FROM c),
 h AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS good FROM o GROUP BY host),
 b AS (SELECT *, regexp_extract(bare, '([^.]*\.)?[^.]*$') AS two FROM h),
 x AS (SELECT *, CASE WHEN {address} THEN bare WHEN two IN ({listed}) THEN regexp_extract(bare, '([^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain,
