@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tidemark.plans import relational, timeseries
@@ -48,6 +50,20 @@ def test_users_of_many_micro_batches_stay_out_of_the_driver(spark, tmp_path):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
+    """Four micro-batches: the third has a row of a window that the watermark of the first has passed (Spark drops rows by
+    the watermark of the batch before) and one that is late but not too late; the last window stays open."""
+    days = [[("a", "09:30"), ("a", "10:10"), ("a", "12:00")], [("a", "12:05")], [("a", "09:45"), ("a", "11:55"), ("a", "12:30")], [("b", "14:20")]]
+    for i, rows in enumerate(days):
+        spark.createDataFrame([(t, f"2024-01-01 {at}:00", 1.0) for t, at in rows], "event_type string, ts string, value double").selectExpr("event_type", "cast(ts AS timestamp_ntz) AS ts", "value").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        part = next((tmp_path / str(i)).glob("part-*"))
+        part.rename(tmp_path / f"events.parquet/{i}.parquet")
+        os.utime(tmp_path / f"events.parquet/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = streams.written(streams.tumbling(streams.stream(spark, str(tmp_path), "events", files_at_once=1)), "append", "late").collect()
+    assert sorted((r["event_type"], r["start"].hour, r["n"]) for r in got) == [("a", 9, 1), ("a", 10, 1), ("a", 11, 1), ("a", 12, 3)]
+
+
 def test_grouped_map_has_bounded_frames(spark, tmp_path, monkeypatch):
     """One event type has all events; no pandas frame gets more than a block of them."""
     spark.range(1000).selectExpr("id AS event_id", "'view' AS event_type", "double(id + 5) AS value").write.parquet(f"{tmp_path}/events.parquet")
