@@ -141,10 +141,13 @@ def aggregate_cube(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"SELECT user_id, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)} FROM events GROUP BY user_id")
 def aggregate_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count("user_id"))
-    return rows.select("user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("click", "purchase", "view")])
+    rows = table(spark, sf, "events").groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.count("user_id"))
+    return rows.select("user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in EVENT_TYPES])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
@@ -263,9 +266,9 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("r", rank).where("r <= 3").select("vec_id", "other_id", F.round("cosine", 8).alias("cosine"))
 
 
-@query("SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en') WHERE word <> '' GROUP BY lang, word")
+@query("SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents) WHERE word <> '' GROUP BY lang, word")
 def explode_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").where("lang = 'en'").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    rows = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     return rows.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
