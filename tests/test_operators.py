@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators import bars as B
 from tidemark.operators.joins import asof_join, range_join, salted_join
+from tidemark.operators.spans import ranks
 from tidemark.sources.tables import save, table
 
 
@@ -99,3 +101,44 @@ def test_empty_inputs(spark):
     assert B.filled(B.bars(none, "1 hour"), "1 hour").count() == 0
     assert asof_join(none.drop("value"), none, "ts", "ts", ["event_type"], ["value"]).count() == 0
     assert B.exponential(B.bars(none, "1 hour"), 0.2).count() == 0
+
+
+def test_asof_join_across_spans(spark):
+    """The last right row is carried over many spans, with few rows or none of the right in them."""
+    left = [(i, "ab"[i % 2], (i * 37) % 500 if i % 9 else None) for i in range(300)]
+    right = [("ab"[i % 2], (i * 91) % 300, float(i)) for i in range(12)] + [("a", None, 5.0)]
+    frames = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, at int, v double")
+    for strict in (False, True):
+        fits = lambda a, t: t is not None and a is not None and (a < t or a == t and not strict)
+        want = [(i, max(((a, v) for k2, a, v in right if k2 == k and fits(a, t)), default=(0, None))[1]) for i, k, t in left]
+        for span in (1, 7, 1e6):
+            assert rows(asof_join(*frames, "t", "at", ["k"], ["v"], strict, span).select("id", "v"), "id") == want
+    times = spark.createDataFrame([(1, at(0)), (2, at(60 * 24 * 9))], "id int, t timestamp_ntz")
+    marks = spark.createDataFrame([(at(30), 7)], "at timestamp_ntz, v int")
+    assert rows(asof_join(times, marks, "t", "at", [], ["v"]).select("id", "v"), "id") == [(1, None), (2, 7)]
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_exponential_across_spans_nulls_and_warm_up(spark, span):
+    xs = [None if i in (0, 11, 12, 30) else float(i * 7 % 13) - 4 for i in range(40)]
+    want, e = [], None
+    for i, x in enumerate(xs):
+        e = x if x is None or e is None else 0.3 * x + 0.7 * e
+        want.append(e if i >= 4 else None)
+    data = [(k, 2 * i, x) for k in ("a", None) for i, x in enumerate(xs)] + [("one", 5, 1.0)]
+    made = spark.createDataFrame(data, "event_type string, bar int, close double")
+    got = rows(B.exponential(made, 0.3, span=span, warm_up=5), "event_type", "bar")
+    assert [r[2] for r in got] == [pytest.approx(w) for w in want] * 2 + [None]
+    assert [r[1] for r in got[:40]] == [2 * i for i in range(40)]
+
+
+@pytest.mark.parametrize("width", [0.5, 1e9])
+def test_ranks_with_ties_nulls_and_nan(spark, width):
+    """As Spark's own windows give them, where a key has few rows, a hot value, nulls or NaN."""
+    data = [(i, "a" if i % 5 else None, [1.0, 1.0, 1.0, None, float("nan"), i / 7, -float(i)][i % 7]) for i in range(120)] + [(500, "one", 3.0), (501, "two", None), (502, "two", 2.0)]
+    df = spark.createDataFrame(data, "id long, k string, v double")
+    w, unique = Window.partitionBy("k").orderBy("v"), Window.partitionBy("k").orderBy("v", "id")
+    want = df.select("k", "id", F.rank().over(w), F.dense_rank().over(w), F.ntile(4).over(unique), F.percent_rank().over(w), F.cume_dist().over(w))
+    got = ranks(df, "k", "v", "id", tiles=4, width=width, tie_width=10)
+    assert rows(got.select("k", "id", "r", "d", "quarter", "p", "c"), "id") == rows(want, "id")
+    assert ranks(df.limit(0), "k", "v", "id", 4, width, 10).count() == 0

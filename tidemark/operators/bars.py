@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import asof_join
+from tidemark.operators.spans import span_of
 
 SPAN = {"1 hour": 3600, "4 hours": 4 * 3600, "1 day": 24 * 3600}
 
@@ -37,14 +38,37 @@ def moving(column: str, bars_back: int, key: str = "event_type", at: str = "bar"
     return {name: F.when(full, f(column).over(w)) for name, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("deviation", F.stddev_pop))}
 
 
-def exponential(rows: DataFrame, alpha: float, value: str = "close", key: str = "event_type", order: str = "bar") -> DataFrame:
-    """(key, order, ema): e = alpha * x + (1 - alpha) * e before, started with the first value. A recursion needs a
-    key's values in one place: one ordered array for each key, bounded by its number of bars."""
-    gathered = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("x")))).alias("xs"))
+def exponential(rows: DataFrame, alpha: float, value: str = "close", key: str = "event_type", order: str = "bar", span: float = 30 * 86400.0, warm_up: int = 1) -> DataFrame:
+    """(key, order, ema): e = alpha * x + (1 - alpha) * e before, started with the first value and anew after a null one,
+    which has a null mean. The first warm_up - 1 rows of a key have a null mean too.
+
+    A key is cut into spans (`span` seconds, or units of a numeric order). Each is smoothed by itself, as if started
+    with its first value x; then e before it adds (1 - alpha) ** i * (e - x) to the i-th row up to the span's first
+    null. Of a span only its end goes on, so a task holds a span's rows, and a key's ends are what is in one task."""
+    keep = 1.0 - alpha
+    at = F.col(order)
+    spans = rows.groupBy(F.col(key), span_of(at, rows.schema[order].dataType, span).alias("_span")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("x")))).alias("xs"))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    step = lambda acc, p: F.array_append(acc, F.coalesce(alpha * p["x"].cast("double") + (1 - alpha) * last(acc), p["x"].cast("double")))
-    smoothed = gathered.select(key, F.col("xs.at").alias("at"), F.aggregate("xs", F.array().cast("array<double>"), step).alias("ema"))
-    return smoothed.select(key, F.explode(F.arrays_zip("at", "ema")).alias("r")).select(key, F.col("r.at").alias(order), F.col("r.ema").alias("ema"))
+    step = lambda acc, p: F.array_append(acc, F.coalesce(alpha * p["x"] + keep * last(acc), p["x"]))
+    spans = spans.withColumn("own", F.aggregate("xs", F.array().cast("array<double>"), step)).withColumn("n", F.size("xs"))
+    spans = spans.withColumn("gap", F.array_position(F.transform("xs", lambda p: p["x"].isNull()), True))  # 0: none
+    ends = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_span", "n", "gap", F.col("xs")[0]["x"].alias("x"), F.element_at("own", -1).alias("own")))).alias("ends"))
+
+    def on(acc, s):
+        before = last(acc)
+        e = F.when((s["gap"] > 0) | before["e"].isNull(), s["own"]).otherwise(s["own"] + F.pow(F.lit(keep), s["n"]) * (before["e"] - s["x"]))
+        return F.array_append(acc, F.struct(e.alias("e"), (F.coalesce(before["rows"], F.lit(0).cast("long")) + s["n"]).alias("rows")))
+
+    states = F.aggregate("ends", F.array().cast("array<struct<e:double,rows:bigint>>"), on)
+    start = F.lit(None).cast("struct<e:double,rows:bigint>")
+    heads = ends.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.col("ends._span").alias("span"), F.concat(F.array(start), states).alias("before"))).alias("h"))
+    heads = heads.where(F.col("h.span").isNotNull()).select("_key", F.col("h.span").alias("_of"), F.col("h.before.e").alias("e"), F.coalesce("h.before.rows", F.lit(0)).alias("before"))
+    rows = spans.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")), "left")
+    rows = rows.select(key, "e", "before", "gap", F.col("xs")[0]["x"].alias("x"), F.posexplode(F.arrays_zip(F.col("xs.at").alias("at"), F.col("own"))).alias("i", "r"))
+    i = F.col("i") + 1
+    carried = F.when((F.col("gap") == 0) | (i < F.col("gap")), F.pow(F.lit(keep), i) * (F.col("e") - F.col("x")))
+    ema = F.when(F.coalesce("before", F.lit(0)) + i >= warm_up, F.col("r.own") + F.coalesce(carried, F.lit(0.0)))
+    return rows.select(key, F.col("r.at").alias(order), ema.alias("ema"))
 
 
 def aligned(fine: DataFrame, coarse: DataFrame, coarse_width: str, key: str = "event_type") -> DataFrame:

@@ -7,23 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.spans import span_of
 
-def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Sequence[str], values: Sequence[str], strict: bool = False) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Sequence[str], values: Sequence[str], strict: bool = False, span: float = 86400.0) -> DataFrame:
     """left with the `values` of the latest right row of the same `by` whose right_at is at or before (strict: before)
     left_at; nulls where there is none. Rows of left with a null time match nothing.
 
-    Both sides are stacked and one window carries the last right row forward: one shuffle by key, and no pair of rows is
-    ever made that doesn't match. Of right rows at one time the largest values win, so the result doesn't depend on the
-    order of files. Column names of right other than these don't matter.
+    Both sides are stacked and a window carries the last right row forward, so no pair of rows is ever made that doesn't
+    match. A key is cut into spans of time (`span` seconds, or units of a numeric column), each headed by the last right
+    row of the spans before: a task holds a span of a key, and one row for each span is what a key has in one task. Of
+    right rows at one time the largest values win, so the result doesn't depend on the order of files. Column names of
+    right other than these don't matter.
     """
-    carried = F.struct(*[F.col(v) for v in values])
-    ours = left.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(left_at).alias("_at"), F.lit(1 - int(strict)).alias("_side"), F.struct(*left.columns).alias("_row"))
-    theirs = right.where(F.col(right_at).isNotNull()).select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(right_at).alias("_at"), F.lit(int(strict)).alias("_side"), carried.alias("_value"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    named = [F.col(b).alias(k) for b, k in zip(by, keys, strict=True)]
+    ours = left.where(F.col(left_at).isNotNull()).select(*named, F.col(left_at).alias("_at"), F.lit(1 - int(strict)).alias("_side"), F.struct(*left.columns).alias("_row"))
+    theirs = right.where(F.col(right_at).isNotNull()).select(*named, F.col(right_at).alias("_at"), F.lit(int(strict)).alias("_side"), F.struct(*[F.col(v) for v in values]).alias("_value"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
-    order = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_value").asc_nulls_first())
+    both = both.withColumn("_span", span_of(F.col("_at"), both.schema["_at"].dataType, span))
+    ends = both.groupBy(*keys, "_span").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_at", "_value"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(*keys, "_span", F.last("_end", ignorenulls=True).over(earlier)["_value"].alias("_value"), F.lit(-1).alias("_side"))
+    order = Window.partitionBy(*keys, "_span").orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_value").asc_nulls_first())
     last = F.last("_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("_last", last).where(F.col("_row").isNotNull())
-    return found.select("_row.*", *[F.col("_last")[v].alias(v) for v in values])
+    found = both.unionByName(heads, allowMissingColumns=True).withColumn("_last", last).where(F.col("_row").isNotNull())
+    found = found.select("_row.*", *[F.col("_last")[v].alias(v) for v in values])
+    kinds = right.schema
+    return found.unionByName(left.where(F.col(left_at).isNull()).select("*", *[F.lit(None).cast(kinds[v].dataType).alias(v) for v in values]))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:

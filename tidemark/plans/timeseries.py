@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators.joins import asof_join
+from tidemark.operators.spans import ranks
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -33,9 +34,9 @@ def _bars_sql(width: str) -> str:
 
 @query("SELECT event_type, event_id, (rank() OVER w)::INT AS r, (dense_rank() OVER w)::INT AS d, (ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id))::INT AS quarter, round(percent_rank() OVER w, 10) AS p, round(cume_dist() OVER w, 10) AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)")
 def window_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("value")
-    unique = Window.partitionBy("event_type").orderBy("value", "event_id")
-    return _events(spark, sf).select("event_type", "event_id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"), F.ntile(4).over(unique).alias("quarter"), F.round(F.percent_rank().over(w), 10).alias("p"), F.round(F.cume_dist().over(w), 10).alias("c"))
+    """Ranks within five event types, in spans of values so that no type needs one task."""
+    found = ranks(_events(spark, sf), "event_type", "value", "event_id", tiles=4, width=1.0, tie_width=1_000_000)
+    return found.select("event_type", "event_id", "r", "d", "quarter", F.round("p", 10).alias("p"), F.round("c", 10).alias("c"))
 
 
 @query("SELECT user_id, event_id, lag(value) OVER w AS before, lead(value, 2, -1.0) OVER w AS after2, first_value(value) OVER w AS first_one, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_one FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -103,7 +104,7 @@ def bars_moving(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT event_type, bar, i, close AS ema FROM b WHERE i = 1 UNION ALL SELECT b.event_type, b.bar, b.i, 0.2::DOUBLE * b.close + 0.8::DOUBLE * e.ema FROM e JOIN b ON b.event_type = e.event_type AND b.i = e.i + 1)
 SELECT event_type, bar, round(ema, 8) AS ema FROM e""")
 def bars_exponential(spark: SparkSession, sf: str) -> DataFrame:
-    rows = B.exponential(B.bars(_events(spark, sf), "4 hours"), 0.2)
+    rows = B.exponential(B.bars(_events(spark, sf), "4 hours"), 0.2, span=7 * 86400.0)
     return rows.select("event_type", "bar", F.round("ema", 8).alias("ema"))
 
 
