@@ -230,3 +230,37 @@ def test_op10_edge_cases(spark):
     assert by == {2: (4, 1, False), 3: (4, 1, False)} | {i: (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12)}
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] == 1] == [(4, 1, True)] * 2
     assert cap_filters.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 9, 12, 15, 16, 24, 32, 64, 100])
+def test_cap_filters_at_any_width(width):
+    """Of pairs at a cosine of 0.93, at least 99 in a hundred share a filter."""
+    rng = np.random.default_rng(width)
+    a, b = rng.standard_normal((2, 3000, width))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    if width > 1:
+        b -= (a * b).sum(1)[:, None] * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    else:
+        b = a
+    code = cap_filters.Code(width, 12, 2, 64, 3.33, 11)
+    shared = [len(np.intersect1d(x, y)) for x, y in zip(code.filters(a), code.filters(b), strict=True)]
+    sizes = [len(f) for f in code.filters(a)]
+    print(width, "recall", np.mean(np.array(shared) > 0), "filters", np.mean(sizes), max(sizes))
+    assert np.mean(np.array(shared) > 0) >= 0.99
+    assert np.mean(sizes) < 250
+
+
+def test_op10_query_on_a_planted_table(spark, tmp_path):
+    """The registered query over a table with near pairs, a large group of copies and vectors of few components."""
+    rows = planted(2)
+    rows += [(1000 + i, rows[5][1], rows[5][2]) for i in range(300)]
+    rng = np.random.default_rng(4)
+    rows += [(2000 + i, v.tolist(), 1) for i, v in enumerate(rng.standard_normal((150, 3)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).orderBy("vec_id").collect()]
+    count, root, links = brute_vectors(rows)
+    got = {r["vec_id"]: r for r in queries.op10_cap_filters(spark, str(tmp_path)).collect()}
+    found = [got[v]["n_links"] for v, _, _ in rows]
+    assert all(f <= c for f, c in zip(found, count, strict=True)) and sum(found) >= 0.99 * sum(count)
+    assert sum(got[v]["component_id"] == rows[r][0] for (v, _, _), r in zip(rows, root, strict=True)) >= 0.99 * len(rows)

@@ -18,20 +18,32 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.shared import Forest, groups, in_tiles, stage
 
 
+#: Filters that a vector of few components is in, on average.
+NARROW = 40
+
+
 class Code:
     """turns * codes ** parts directions in `width` dimensions: in each of several random rotations, every choice of a
-    code for each part. A unit vector is in those directions' filters with which its product is at least
-    deviations / sqrt(width), that is so many standard deviations of a random one. Several rotations keep the number of
-    a vector's filters from varying much."""
+    code for each part. A unit vector is in those directions' filters to which its angle has a cotangent of at least
+    deviations / sqrt(width - 1). For wide vectors these are so many standard deviations of a random vector's product;
+    for narrow ones the cap stays wide enough that near vectors share it: over a third of a vector's filters are those
+    of one at cosine 0.93, whatever the width. Several rotations keep the number of a vector's filters from varying much.
+
+    Vectors of fewer than 8 components a part are cut into no parts. Their caps are large shares of the sphere, so
+    there are as many directions as put a vector into NARROW filters on average."""
 
     def __init__(self, width: int, turns: int, parts: int, codes: int, deviations: float, seed: int) -> None:
         rng = np.random.default_rng([seed, width])
-        self.parts, self.codes, self.least = min(parts, width), codes, deviations / np.sqrt(width)
+        cotangent = deviations / np.sqrt(max(width - 1, 1))
+        self.least = cotangent / np.sqrt(1 + cotangent**2)
+        self.parts, self.codes = parts, codes
+        if width < 8 * parts:
+            self.parts, self.codes = 1, int(np.ceil(NARROW / turns / _share(width, self.least)))
         self.cuts = [width * k // self.parts for k in range(self.parts + 1)]
         self.turns = []
         for _ in range(turns):
             rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
-            tables = [rng.standard_normal((codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+            tables = [rng.standard_normal((self.codes, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
             # parts of unequal width weigh by their width, so that every direction has length 1
             self.turns.append((rotation, [t / np.linalg.norm(t, axis=1)[:, None] * np.sqrt(t.shape[1] / width) for t in tables]))
 
@@ -56,20 +68,33 @@ class Code:
         return np.split(number[order].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
 
 
+def _share(width: int, least: float) -> float:
+    """The share of the unit sphere whose product with a direction is at least `least`."""
+    if width == 1:
+        return 0.5
+    angle = (np.arange(100_000) + 0.5) / 100_000 * np.pi
+    weight = np.sin(angle) ** (width - 2)
+    return float(weight[np.cos(angle) >= least].sum() / weight.sum())
+
+
 def _valid(vector: Column) -> Column:
     """No null or non-finite component, and one that isn't zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def near_vectors(rows: DataFrame, least: float = 0.93, turns: int = 12, parts: int = 2, codes: int = 64, deviations: float = 3.1, tile: int = 512, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.93, turns: int = 12, parts: int = 2, codes: int = 64, deviations: float = 3.33, tile: int = 512, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of rows.
 
     Vectors are compared if their labels are equal and not null and their lengths are equal; two are linked if their
     cosine in double precision is at least `least`. n_links counts a vector's links, component_id is the smallest id
     reachable, kept is true for the row that has it. Links are those that share a filter: with the parameters as they
-    are a vector is in about 16 filters of 16,384, a vector at cosine 0.93 in over half of the same ones, so fewer than
-    one pair in a hundred at 0.93 is missed, and far fewer above. A link found is never below `least`.
+    are a vector of 64 components is in about 36 of 49,152 filters, and one at cosine 0.93 in nearly half of the same
+    ones, so fewer than one pair in a hundred at 0.93 is missed, and far fewer above. A link found is never below `least`.
+
+    A filter's size grows with the number of vectors, and its comparisons with the square. For 100 times as many vectors
+    take 10 times as many codes (100 times as many directions) and deviations for a cap of a hundredth of the share; a
+    cap so small needs more turns for the same recall.
 
     Equal vectors are one class with a count from the start and never make pairs. Filters with very many vectors are
     compared in tiles of bounded size; a tile gives numbers of links and a spanning forest, not all pairs.
