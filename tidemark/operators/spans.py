@@ -31,16 +31,16 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amounts:
 
     The sums of spans, one row for each, are in one task for a key."""
     kind = rows.schema[order[0]].dataType
-    cut = rows.withColumn("_span", span_of(F.col(order[0]), kind, width))
-    spans = cut.groupBy(*keys, "_span").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in amounts.items()])
+    cut = rows.withColumn("_tm_span", span_of(F.col(order[0]), kind, width))
+    spans = cut.groupBy(*keys, "_tm_span").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in amounts.items()])
     whole = Window.partitionBy(*keys)
-    before = whole.orderBy(F.col("_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    heads = spans.select(*keys, "_span", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in amounts], *[F.sum(n).over(whole).alias(f"{n}_all") for n in amounts])
-    lines = cut.select("*", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in amounts.items()], F.lit(1).alias("_line"))
-    both = lines.unionByName(heads.withColumn("_line", F.lit(0)), allowMissingColumns=True)
-    so_far = Window.partitionBy(*keys, "_span").orderBy("_line", *[F.col(o).asc_nulls_first() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    done = both.select(*rows.columns, "_line", *[F.sum(n).over(so_far).alias(n) for n in amounts], *[F.first(f"{n}_all").over(so_far).alias(f"{n}_all") for n in amounts])
-    return done.where("_line = 1").drop("_line")
+    before = whole.orderBy(F.col("_tm_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = spans.select(*keys, "_tm_span", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in amounts], *[F.sum(n).over(whole).alias(f"{n}_all") for n in amounts])
+    lines = cut.select("*", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in amounts.items()], F.lit(1).alias("_tm_line"))
+    both = lines.unionByName(heads.withColumn("_tm_line", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, "_tm_span").orderBy("_tm_line", *[F.col(o).asc_nulls_first() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    done = both.select(*rows.columns, "_tm_line", *[F.sum(n).over(so_far).alias(n) for n in amounts], *[F.first(f"{n}_all").over(so_far).alias(f"{n}_all") for n in amounts])
+    return done.where("_tm_line = 1").drop("_tm_line")
 
 
 def ranks(rows: DataFrame, key: str, value: str, tie: str, tiles: int, width: float, tie_width: float) -> DataFrame:
