@@ -229,6 +229,31 @@ def test_mix_edge_cases(spark):
     assert sum(r["n"] for r in rows) == want["all"]
 
 
+def test_mix_by_a_quality_column_with_nulls_and_zeros(spark):
+    """Null, NaN, zero, negative and large qualities are weights like others, and the target is met."""
+    odd = [None, float("nan"), 0.0, -3.0, 0.5, 1e9, float("inf")]
+    data = [(i, "a b c d", "s" if i % 2 else "t", odd[i % 7]) for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string, q double"), share=0.75, quality=F.col("q")).collect()
+    assert len(got) == 700
+    for source in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == source) - source) <= 4
+    plain = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string, q double"), share=0.75, quality=F.lit(None)).collect()
+    assert sum(r["taken"] for r in plain) > 0
+
+
+def test_many_repeated_rows_share_what_is_taken_of_them(spark):
+    """A third of all rows with a null id and one text: as many rows come out as the mix takes, with their own columns."""
+    data = [(None, "a b", "s", i) for i in range(300)] + [(i, f"w{i} x y", "s", i) for i in range(300)] + [(9000, "", "t", 1)] * 40
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, own int").repartition(7)
+    how = {"weights": (5, 2, 1), "share": 1.5, "most": 2.0}
+    want = mixing.mix(docs, **how).groupBy("doc_id").agg(F.sum("times").alias("n")).where("n > 0").collect()
+    got = mixing.mixed_rows(docs, **how)
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {r["doc_id"]: r["n"] for r in want}
+    assert got.columns == docs.columns
+    each = [r["count"] for r in got.where("doc_id is null").groupBy("own").count().collect()]
+    assert len(each) == 300 and set(each) == {1, 2}
+
+
 def test_better_documents_come_first(spark):
     rows = [(i, "word " * 50 if i % 2 else "1234 #*$% " * 25, "en", "s") for i in range(400)]
     got = mixing.mix(edges(spark, rows), weights=(1,), share=0.3, most=2.0).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import n_words, stage
+from tidemark.operators.spans import running
 
 #: Sampling weights lie between this and 1.
 LEAST_QUALITY = 0.25
@@ -23,6 +24,12 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(share, F.lit(0.0)))
 
 
+def _bounded(quality: Column) -> Column:
+    """A quality as a sampling weight: no less than LEAST_QUALITY, which nulls and NaN have too, and no more than 1."""
+    least = F.lit(LEAST_QUALITY)
+    return F.least(F.lit(1.0), F.greatest(least, F.coalesce(F.nanvl(quality.cast("double"), least), least)))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """(source, source_size, target) from sizes (source, size).
 
@@ -57,12 +64,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     over its sub-bins the sub-bin, and only the latter's documents (about one in 16 million of a source) are sorted. So a
     source with a third of all rows is as parallel as the others.
 
-    A null text has size 0 and the least quality. A null source is a source, the last. Null ids and rows that repeat
+    quality is any column, such as a classifier's score; it counts as LEAST_QUALITY at least (so do null and NaN) and as 1
+    at most. A null text has size 0 and the least quality of its own. A null source is a source, the last. Null ids and rows that repeat
     an id are documents; of repeated rows that tie at the end of the rest any may be taken, their number is fixed. If
     all sizes are 0 targets are 0; an empty table gives an empty result.
     """
     text = F.col(text_col)
-    weight = quality_weight(text) if quality is None else quality
+    weight = quality_weight(text) if quality is None else _bounded(quality)
     name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(text), F.lit("")))
     uniform = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("digest"), n_words(text).alias("size"), weight.alias("w"), uniform.alias("u"), F.md5(name).alias("tie"))
@@ -105,11 +113,12 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs (doc_id, text, source and any others), each as often as the mix takes it."""
     taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_tm_id"), F.col("digest").alias("_tm_digest")).agg(F.sum("times").alias("_tm_times"), F.count("*").alias("_tm_rows"))
     both = docs.join(stage(taken.where("_tm_times > 0"), "taken"), F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.xxhash64("text") == F.col("_tm_digest")))
-    # rows that repeat both id and text share what is taken of them
-    same = Window.partitionBy("doc_id", "_tm_digest").orderBy(F.lit(0))
     once = both.where("_tm_rows = 1").withColumn("_tm_n", F.col("_tm_times"))
-    more = F.floor(F.col("_tm_times") / F.col("_tm_rows")) + F.when(F.row_number().over(same) <= F.col("_tm_times") % F.col("_tm_rows"), 1).otherwise(0)
-    every = once.unionByName(both.where("_tm_rows > 1").withColumn("_tm_n", more)).where("_tm_n > 0")
+    # rows that repeat both id and text share what is taken of them; they are numbered in spans, so many are many tasks' work
+    again = both.where("_tm_rows > 1").withColumns({"_tm_place": F.monotonically_increasing_id(), "_tm_one": F.lit(1).cast("long")})
+    again = running(stage(again, "repeated"), ["doc_id", "_tm_digest"], ["_tm_place"], {"_tm_i": "_tm_one"}, width=1 << 16)
+    more = F.floor(F.col("_tm_times") / F.col("_tm_rows")) + F.when(F.col("_tm_i") <= F.col("_tm_times") % F.col("_tm_rows"), 1).otherwise(0)
+    every = once.unionByName(again.withColumn("_tm_n", more).select(*once.columns)).where("_tm_n > 0")
     return every.withColumn("_tm_n", F.explode(F.sequence(F.lit(1), F.col("_tm_n").cast("int")))).select(*docs.columns)
 
 
