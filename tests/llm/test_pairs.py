@@ -100,6 +100,18 @@ def test_documents_are_an_id_with_a_text(spark):
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_rows_have_their_shingles_once(spark, monkeypatch):
+    """Many rows without an id repeat one text that has a near copy: no row of the search is made for each."""
+    made, plain = [], simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda *a: made.append(plain(*a)) or made[-1])
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text)] * 300 + [(None, text.replace("w77", "other"))] * 300 + [(4, "nothing like it " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.one_of_each(docs).collect()
+    assert made[0].count() == made[0].select("node").distinct().count() == 2
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 4] and len(kept) == 2
+
+
 def test_a_large_component_with_few_others_makes_few_rows(spark):
     """9,000 members of one component and 100 others: each of the former meets the others once."""
     rows = [(0, 1, i, 0 if i < 9000 else i, 0, 9000, 100) for i in range(9100)]

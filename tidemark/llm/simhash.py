@@ -224,12 +224,19 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(node, size, check, grams) of the nodes among members, from one row each; grams are the ascending hashes of its
-    different shingles, as bytes."""
+    """(node, size, check, grams) of the nodes among members, one row each; grams are the ascending hashes of its
+    different shingles, as bytes.
+
+    Rows that repeat both the id and the text of a node's first document all match it. Tasks give each node out once, and
+    of what several tasks gave one row stays, so such rows cost no more than being read.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_table()
+        given: set[int] = set()
         for batch in batches:
+            fresh = [i for i, node in enumerate(batch.column(0).to_pylist()) if not (node in given or given.add(node))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 grams = [_once(text.lower().split(), width).tobytes() for text in part.column(3).to_pylist()]
@@ -238,7 +245,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) ->
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "size", "check", F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(stage(wanted, "candidates"), (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return stage(rows.select("node", "size", "check", "text").mapInArrow(work, "node long, size int, check array<long>, grams binary"), "shingles")
+    made = stage(rows.select("node", "size", "check", "text").mapInArrow(work, "node long, size int, check array<long>, grams binary"), "shingles")
+    again = stage(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shingles-again")
+    return made.join(again, "node", "left_anti").unionByName(made.join(again, "node").dropDuplicates(["node"]))
 
 
 class _Near:
