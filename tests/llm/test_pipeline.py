@@ -2,10 +2,113 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import corpus_pipeline
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import line_dedup, mixing, rule_ensemble
+from tidemark.llm.queries import MIX, RUN_WORDS, TOKENIZER
+
+
+def plain_score(model, stats):
+    """A rule ensemble's score, worked out one row at a time."""
+    total = model.intercept
+    for rule, weight in model.rules:
+        total += weight * all((stats[place] > threshold) == above for place, above, threshold in rule)
+    return 1 / (1 + math.exp(-total))
+
+
+def plain_near(rows):
+    """The ids that stay of (id, text): all pairs by Jaccard of five-word shingles, the least id of each component."""
+    grams = {}
+    for i, text in rows:
+        parts = text.encode().lower().split()
+        grams[i] = {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+    root = {i: i for i in grams}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(grams), 2):
+        if grams[a] == grams[b] or 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {i for i in grams if find(i) == i}
+
+
+def test_stages_against_brute_force(spark, sf, monkeypatch):
+    """Each stage on the rows of the one before it, and run() against them all: rules and shingles in plain Python,
+    sentences and the mix in DuckDB, tokens by the library."""
+    models, plain_fit = [], rule_ensemble.fit
+    monkeypatch.setattr(rule_ensemble, "fit", lambda *a, **k: models.append(plain_fit(*a, **k)) or models[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    steps = dict(corpus_pipeline.STAGES)
+    con = duckdb.connect()
+
+    def given(name):
+        frame = steps[name](spark, spark.createDataFrame(rows, docs.schema), sf).toPandas()
+        con.register("given", frame)
+        return [tuple(r) for r in frame.astype(object).where(frame.notna(), None).values.tolist()]
+
+    def checked(got, want):
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        return got
+
+    got = given("quality classifier")
+    want = [r for r in rows if plain_score(models[0], rule_ensemble._of((r[1] or "").encode())) >= 0.3]
+    rows = checked(got, want)
+    assert 0 < len(rows) < docs.count()
+
+    got = given("simhash near-dedup")
+    stay = plain_near([(r[0], r[1] or "") for r in rows])
+    rows = checked(got, [r for r in rows if r[0] in stay])
+
+    con.register("before", spark.createDataFrame(rows, docs.schema).toPandas())
+    cut = con.execute(f"SELECT doc_id, n_removed, chars_left, text_md5 FROM ({line_dedup.oracle('before', RUN_WORDS)})").fetchall()
+    got = given("line dedup")
+    here = dict(con.execute("SELECT doc_id, md5(text) FROM given").fetchall())
+    assert here == {i: h for i, n, chars, h in cut if not n or h != hashlib.md5(b" " * chars).hexdigest()}
+    assert all(r[4] == len(r[1]) for r in got) and any(n for _, n, *_ in cut)
+    rows = got
+
+    con.register("before", spark.createDataFrame(rows, docs.schema).toPandas())
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('before', **MIX)})").fetchall()
+    got = given("mixing sources")
+    times = Counter(r[0] for r in got)
+    assert {i: times[i] * size for i, size, _ in taken} == {i: words for i, _, words in taken}
+    assert set(got) <= set(rows)
+    rows = got
+
+    coder = Tokenizer.from_file(TOKENIZER)
+    want = Counter()
+    for i, text, *_ in rows:
+        ids = [*coder.encode(text or "", add_special_tokens=False).ids, 2]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()) if len(ids) <= 1024 else None] += 1
+    packed = steps["best-fit packing"](spark, spark.createDataFrame(rows, docs.schema), sf).toPandas()
+    total = defaultdict(int)
+    for r in packed.itertuples():
+        total[r.doc_id] += r.length
+    assert total == {i: sum(n * k for (j, n, _), k in want.items() if j == i) for i in times}
+    whole = packed[packed.piece == 0].merge(packed[packed.piece == 1][["doc_id"]].drop_duplicates(), "left", "doc_id", indicator=True).query("_merge == 'left_only'")
+    assert Counter(zip(whole.doc_id, whole.length, whole.ids_crc32, strict=True)) == {k: n for k, n in want.items() if k[2] is not None}
+    for _, own in packed.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 1024
+
+    final = corpus_pipeline.run(spark, sf).toPandas()
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, final[columns].values.tolist())) == Counter(map(tuple, packed[columns].values.tolist()))
+    assert final.sequence_id.nunique() == packed.sequence_id.nunique()
 
 
 def test_stages_take_and_give_documents(spark, sf):
