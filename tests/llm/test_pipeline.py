@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import line_dedup, mixing, rule_ensemble
-from tidemark.llm.queries import MIX, RUN_WORDS, TOKENIZER
+from tidemark.llm.queries import MIX, RUN_WORDS, tokenizer
 
 
 def plain_score(model, stats):
@@ -90,7 +90,7 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     assert set(got) <= set(rows)
     rows = got
 
-    coder = Tokenizer.from_file(TOKENIZER)
+    coder = Tokenizer.from_file(tokenizer())
     want = Counter()
     for i, text, *_ in rows:
         ids = [*coder.encode(text or "", add_special_tokens=False).ids, 2]

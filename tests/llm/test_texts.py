@@ -31,7 +31,7 @@ def documents(spark, sf):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(queries.TOKENIZER)
+    return Tokenizer.from_file(queries.tokenizer())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -269,9 +269,9 @@ def test_encoder_is_exact(special_as_text):
     import random
 
     random.seed(4)
-    plain = Tokenizer.from_file(queries.TOKENIZER)
+    plain = Tokenizer.from_file(queries.tokenizer())
     plain.encode_special_tokens = special_as_text
-    own = Encoder(queries.TOKENIZER, entries=500, special_as_text=special_as_text)
+    own = Encoder(queries.tokenizer(), entries=500, special_as_text=special_as_text)
     letters = [*"ab'sl .\n\t\r\x0b\x1c\u00a0\u00e91!?  \n\n\u2003\0\1", "<|endoftext|>"]
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 16))) for _ in range(3000)] + ["", "a", " a", "a ", "don't  do\n\n\nit", "<|endoftext|>", "a <|endoftext|> b", None, "don't. '.s, a.\nb,\n.c"]
     texts += ["".join(random.choice("ab'c .,!\n\u00e9") for _ in range(random.randint(0, 30))) for _ in range(3000)]
@@ -286,7 +286,7 @@ def test_texts_are_encoded_in_parts_of_bounded_size(characters, tokenizer):
     texts = [None, "", "a b", "c" * 40, "", "d e f", None, "g" * 9, *["hi"] * 30]
     batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part, pa.string())], ["i", "t"]) for k in range(0, len(texts), 5) for part in [texts[k : k + 5]]]
     got, at = [], []
-    for rows, ids, bounds in encoded(iter([*batches, batches[0].slice(0, 0)]), queries.TOKENIZER, 1, 2, characters=characters):
+    for rows, ids, bounds in encoded(iter([*batches, batches[0].slice(0, 0)]), queries.tokenizer(), 1, 2, characters=characters):
         assert rows.num_rows == 1 or sum(len(t or "") for t in rows.column(1).to_pylist()) <= characters
         at += rows.column(0).to_pylist()
         got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -377,7 +377,7 @@ def test_tokens_edge_cases(spark, tokenizer):
     texts = Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for d, t, *_ in EDGES)
     assert any(50256 in ids for _, ids in texts) and max(len(ids) for _, ids in texts) > 200_000
     rows = edges(spark)
-    got = packing.pack_documents(rows, queries.TOKENIZER).collect()
+    got = packing.pack_documents(rows, queries.tokenizer()).collect()
     pieces = defaultdict(list)
     for r in got:
         pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
@@ -387,16 +387,16 @@ def test_tokens_edge_cases(spark, tokenizer):
         want = [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] * n
         assert sorted(pieces[d]) == sorted(want)
     assert max(Counter((r["sequence_id"], r["offset"]) for r in got).values()) == 1
-    assert packing.pack_documents(edges(spark, []), queries.TOKENIZER).count() == 0
+    assert packing.pack_documents(edges(spark, []), queries.tokenizer()).count() == 0
     path = new_path(spark, "test")
-    token_orc.write_tokens(rows, path, queries.TOKENIZER)
+    token_orc.write_tokens(rows, path, queries.tokenizer())
     read = token_orc.read_tokens(spark, path)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in read.collect()) == texts
     starts = sorted((r["start"], r["n_tokens"]) for r in read.collect())
     assert [s for s, _ in starts] == np.r_[0, np.cumsum([n for _, n in starts])[:-1]].tolist()
     assert read.where("doc_id = 4").count() == 1
     empty = new_path(spark, "test")
-    token_orc.write_tokens(edges(spark, []), empty, queries.TOKENIZER)
+    token_orc.write_tokens(edges(spark, []), empty, queries.tokenizer())
     assert token_orc.read_tokens(spark, empty).count() == 0
 
 
@@ -406,7 +406,7 @@ def test_token_starts_hold_in_files_of_any_number(spark, tokenizer):
     path = new_path(spark, "test")
     spark.conf.set("spark.sql.files.maxRecordsPerFile", "9")
     try:
-        token_orc.write_tokens(rows, path, queries.TOKENIZER, partitions=12)
+        token_orc.write_tokens(rows, path, queries.tokenizer(), partitions=12)
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in token_orc.read_tokens(spark, path).collect())
@@ -420,7 +420,7 @@ def test_orc_files_skip_what_a_lookup_does_not_need(spark, capsys):
     """Stripes, row groups and Bloom filters are in the files, and a lookup of an id reads few rows."""
     path = new_path(spark, "test")
     rows = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
-    token_orc.write_tokens(rows, path, queries.TOKENIZER, partitions=2)
+    token_orc.write_tokens(rows, path, queries.tokenizer(), partitions=2)
     read = token_orc.read_tokens(spark, path)
     read.where("doc_id = 77").explain("formatted")
     assert "EqualTo(doc_id,77)" in capsys.readouterr().out

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, chat, line_dedup, mixing, packing, perplexity, rule_ensemble, simhash, token_orc, url_reputation
+from tidemark.llm import cap_filters, chat, hard_negatives, line_dedup, mixing, packing, perplexity, rule_ensemble, simhash, spelling, token_counts, token_orc, url_reputation
 from tidemark.llm.shared import new_path
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+def tokenizer() -> str:
+    """The place of the tokenizer's file, looked up when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +49,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2, capacity=1024)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, capacity=1024)
 
 
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
-    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
@@ -78,6 +82,25 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+#: Texts with more tokens than this are marked.
+TOKEN_LIMIT = 1024
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stored counts of every prefix; a text's own count is that of its longest one."""
+    found = token_counts.totals(token_counts.prefix_table(table(spark, sf_dir, "documents"), tokenizer()))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.occurrences(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_perplexity": op1_perplexity,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +112,9 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_cap_filters": op10_cap_filters,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -96,4 +122,6 @@ ORACLE_SQL = {
     "op4_mix_sources": mixing.oracle("documents", **MIX),
     "op6_chat_perspectives": chat.oracle("conversations"),
     "op8_url_reputation": url_reputation.oracle("pages", RULES),
+    "op11_hard_negatives": hard_negatives.oracle("embeddings"),
+    "op13_spelling_variants": spelling.oracle("documents"),
 }
