@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +109,31 @@ def test_reputation_blocks_bad_hosts_as_in_sql(spark, tmp_path):
     assert set(blocked["host"]) == {"casino0.example.com", "casino1.example.com", "casino2.example.com", "a.spam.co.uk", "new.spam.co.uk"}
 
 
+def test_tags_go_as_by_the_plain_patterns(spark):
+    """Random pages of beginnings and ends, in any case and order: what the patterns give without a bound of time."""
+    rng = random.Random(8)
+    parts = ["<script", "</script>", "<SCRIPT>", "</Script>", "<style ", "</style>", "<!--", "-->", "<!-->", "<a", "<a ", "<A x>", "</a>", "</A>", "<", ">", "text ", "\n", "<scripts>", " é", "<b>", "x", "<abc>"]
+    pages = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000))]
+    plain = lambda html: re.sub(url_reputation._TAGS, " ", html, flags=re.ASCII)
+    frame = spark.createDataFrame([(h,) for h in pages], "html string")
+    got = frame.select("html", url_reputation.without_tags(F.col("html")).alias("text"), url_reputation.link_text(F.col("html")).alias("linked")).collect()
+    for r in got:
+        assert r["text"] == plain(r["html"]), r["html"]
+        want = " ".join(re.findall(url_reputation._LINK, r["html"], flags=re.ASCII))
+        assert len(r["linked"]) == len(want) and len(plain(r["linked"])) == len(plain(want))
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<style>", "<!--", "<a ", "<", "<a </a>", "<a x><script>", ">", "</a>", "<a><a"])
+def test_hostile_pages_take_linear_time(spark, piece):
+    """10 MB each; one of 64,000 characters took 42 s before."""
+    page = piece * (10_000_000 // len(piece))
+    frame = spark.createDataFrame([("http://" + "a" * 200_000 + "/x", page)], "url string, html string")
+    began = time.perf_counter()
+    row = frame.select(url_reputation.good_page(F.col("html")).alias("good"), F.length(url_reputation.domain_of(url_reputation.host_of(F.col("url")))).alias("n")).first()
+    assert row["good"] == 0 and row["n"] == 200_000
+    assert time.perf_counter() - began < 20
+
+
 def test_judge_edge_cases(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "http://h.com/", "<p>t</p>", "x"), (None, "http://h.com/", None, "x"), (4, "", "", "x")], "page_id long, url string, html string, host string")
     got = url_reputation.judge(pages, url_reputation.good_page(F.col("html")), ())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -169,17 +171,46 @@ def test_passages_inside_lines_go_and_common_sentences_stay(spark):
     assert got == {1: rows[0][1], 2: "Another start. End of two.", 3: rows[2][1]}
 
 
-@pytest.mark.parametrize("unit", sorted(line_dedup.UNITS))
-def test_units_are_the_text(unit):
+def test_units_are_the_text():
     for text in ("", "a", "a. b! \n\n c?\nd", "\n", "one\n\n\ntwo\nthree\n \n four", "a.b.  c.\t"):
-        assert "".join(text[a:b] for a, b, *_ in line_dedup.cut(text, unit)) == text
-
-
-def test_paragraphs(spark):
-    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
-    rows = [(1, f"{one}\n\n{two}", "en", "s"), (2, f"{two}\nmore\n\n{one}", "en", "s")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(edges(spark, rows), unit="paragraph").collect()}
-    assert got == {1: rows[0][1], 2: f"{two}\nmore\n\n"}
+        sentences, blocks = line_dedup.cut(text)
+        assert "".join(text[a:b] for a, b, *_ in sentences) == text
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+        paragraphs = re.findall(r"(?:[^\n]*[^ \t-\r][^\n]*(?:\n|$))+", text)
+        assert Counter(text[a:b] for a, b, *_ in blocks) == Counter(x for x in lines if x.split()) + Counter(paragraphs)
+        assert all(words == len(text[a:b].split()) for a, b, words, _ in sentences + blocks)
+
+
+def test_paragraphs_go_however_they_are_wrapped(spark):
+    words = [f"a{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(f"b{i}" for i in range(30))
+    wrapped = "\n".join(" ".join(words[k : k + 7]) for k in range(0, 60, 7))
+    rows = [(1, f"{one}\n\n{two}", "en", "s"), (2, f"{two}\nmore\n\nnew\n\n{wrapped}", "en", "s"), (3, f"x\n \n{wrapped.upper()}\n\ny", "en", "s")]
+    got = {r["doc_id"]: (r["text"], [tuple(p) for p in r["removed"]]) for r in line_dedup.dedup(edges(spark, rows)).collect()}
+    n, m = len(wrapped), len(two)
+    assert got == {1: (rows[0][1], []), 2: ("more\n\nnew\n\n", [(0, m + 1), (m + 12, m + 12 + n)]), 3: ("x\n \n\ny", [(4, 5 + n)])}
+
+
+def test_without_a_least_number_every_later_unit_goes():
+    assert line_dedup.places("a\nb\n", set(), 0) == []
+    assert line_dedup.places("a\na\nb\n", set(), 0) == [(2, 4)]
+    assert line_dedup.places("a\n\nb. a.\n\na\n", set(), 0) == [(10, 12)]
+    assert line_dedup.places("\n\n \n", set(), 0) == line_dedup.places("", set(), 0) == []
+
+
+def test_dedup_same_as_sql_without_a_least_number(spark):
+    """Also with one, over texts of few words in all kinds of lines and paragraphs."""
+    rng = np.random.default_rng(4)
+    parts = ["a", "b", "c d", ".", ". ", "\n", "\n\n", " ", "!", "? ", "e"]
+    texts = [None, "", *("".join(rng.choice(parts, 9)) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("docs", docs.toPandas())
+    for least in (0, 2, 4):
+        found = line_dedup.dedup(docs, least).collect()
+        got = sorted((r["doc_id"], ",".join(f"{a}-{b}" for a, b in r["removed"]), None if r["text"] is None else hashlib.md5(r["text"].encode()).hexdigest()) for r in found)
+        assert got == con.execute(f"SELECT doc_id, removed, text_md5 FROM ({line_dedup.oracle('docs', least)}) ORDER BY 1").fetchall()
+        assert any(p for _, p, _ in got)
 
 
 # mixing

@@ -25,13 +25,13 @@ def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity", "lower", "upper")
 
 
-#: Repeated sentences and lines are removed in runs of so many words.
+#: Repeated lines, paragraphs and runs of sentences of so many words are removed.
 RUN_WORDS = 25
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the removed places, as start-stop in characters, and what is left of its text."""
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"), unit="sentence", min_words=RUN_WORDS)
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), min_words=RUN_WORDS)
     places = F.array_join(F.transform("removed", lambda p: F.concat_ws("-", p["start"], p["stop"])), ",")
     return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), places.alias("removed"), F.length("text").cast("long").alias("chars_left"), F.md5("text").alias("text_md5"))
 

@@ -32,8 +32,14 @@ _CLASS = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{m[1]:0>4}", _SPACE)
 _SPACES, _UNITS = re.compile(f"[{_CLASS}]*"), re.compile(f"[{_CLASS}]*[^{_CLASS}]+|[{_CLASS}]+")
 #: Units end where white space begins; the mark is put between.
 _MARK, _EDGE = "\0", f"([^{_SPACE}])([{_SPACE}])"
+#: The tokenizer's pattern also ends a piece between a letter and such marks, whatever follows; cut there, words repeat more.
+_ENDED = r"(\pL)([.,;:!?])"
 #: Contractions that the tokenizer keeps as one piece; before their last letter they are two.
 _SHORT = ("'re", "'ve", "'ll")
+#: After all merges.
+_NEVER = 1 << 62
+#: Below this code point all versions of Unicode agree on what a letter is.
+_OLD_LETTERS = "\u0180"
 #: Characters of one block of the table of prefixes.
 BLOCK = 1 << 16
 
@@ -42,7 +48,7 @@ class PrefixCounter:
     """Token counts of all prefixes of texts, as the tokenizers library counts the prefix by itself with
     add_special_tokens False, for files with byte-level BPE. A prefix is a number of code points.
 
-    A unit is white space and what follows up to the next white space. The pattern that cuts a text looks ahead only from
+    A unit is white space and what follows up to the next white space, or up to a mark behind a letter. The pattern that cuts a text looks ahead only from
     white space to what follows it, so the units before the one that a prefix ends in count as in the whole text, and that
     one counts as a text by itself. Units met before come from a table of about `entries` units; it changes no result."""
 
@@ -58,20 +64,53 @@ class PrefixCounter:
         self.vocab = model["vocab"]
         self.longest = max(map(len, self.vocab))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.ranks = {pair: rank for rank, pair in reversed(list(enumerate(merges)))}
+        self.made = {a + b: ((a, b), rank) for (a, b), rank in self.ranks.items()}
+        self.spines: tuple[dict, dict] = ({}, {})
+        rank_of = lambda token: self.made[token][1] if token in self.made else -1
+        # one merge for each token, made of tokens of earlier merges; else pairs are put to the library
+        self.plain = len(self.made) == len(self.ranks) and all(rank > max(rank_of(a), rank_of(b)) for (a, b), rank in self.ranks.items())
         self.model = Tokenizer(models.BPE(self.vocab, merges))  # of letters that stand for bytes, without cutting
+        # printable bytes stand for themselves, the others take the next code points from 256 on
+        rest = iter(range(256, 512))
+        self.letters = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(rest)) for b in range(256)]
+        self.ascii = str.maketrans({b: self.letters[b] for b in range(128)})
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.apart = "|".join([r"\x00", *map(re.escape, names)])
         self.entries, self.pairs, self.pieces, self.young, self.old = entries, {}, {}, {}, {}
 
+    def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """What stands at a token's left (0) or right (1) end while its merges are made, each with the rank of the merge
+        that takes it in; the token itself last."""
+        spine = self.spines[side].get(token)
+        if spine is None:
+            pair, rank = self.made.get(token, (None, 0))
+            spine = self.spines[side][token] = [*[(x, min(r, rank)) for x, r in self._spine(pair[side], side)], (token, _NEVER)] if pair else [(token, _NEVER)]
+        return spine
+
     def _may_follow(self, a: str, b: str) -> bool:
-        """Whether the library encodes the bytes of a and b together as those two tokens (a empty: b as itself)."""
+        """Whether the bytes of a and b together are encoded as those two tokens (a empty: b as itself).
+
+        They aren't if, before either end is taken in by its own side, a merge across the edge has its turn: merges go by
+        rank, and of equal ones the left one first. Ranks rise along a spine, since a merge's parts are made before it."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.model.encode(a + b).tokens == ([a, b] if a else [b])
+            if not a or not self.plain:
+                known = self.model.encode(a + b).tokens == ([a, b] if a else [b])
+            else:
+                known = self._may_follow("", b)
+                if known:
+                    ranks, starts = self.ranks, self._spine(b, 0)
+                    for x, left in self._spine(a, 1):
+                        for y, right in starts:
+                            rank = ranks.get((x, y))
+                            if rank is not None and rank < left and rank <= right:
+                                known = False
+            self.pairs[a, b] = known
         return known
 
     def _piece(self, piece: str) -> list[int]:
@@ -91,6 +130,10 @@ class PrefixCounter:
                 raise ValueError("the tokenizer has no token for some byte")
         return counts
 
+    def _letters(self, text: str) -> str:
+        """text's bytes as the letters that stand for them."""
+        return text.translate(self.ascii) if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+
     def _run(self, piece: str, text: str) -> bytes:
         """Steps of the counts of a piece's prefixes, `text` being the piece in its own characters."""
         steps = self.pieces.get(piece)
@@ -105,6 +148,8 @@ class PrefixCounter:
 
     def _unit(self, unit: str) -> bytes:
         """Steps of the counts of the prefixes of a unit that has no special token."""
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and max(unit) < _OLD_LETTERS:
+            return self._run(self._letters(unit), unit)  # one piece, as most are
         cut = self.cutter.pre_tokenize_str(unit)
         steps = b"".join([self._run(piece, unit[a:b]) for piece, (a, b) in cut])
         blank = _SPACES.match(unit).end()
@@ -149,7 +194,10 @@ class PrefixCounter:
         code point; their sum up to a place is the count of the prefix that ends there."""
         texts = pc.fill_null(texts, "")
         apart = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(apart), "", texts), _EDGE, f"\\1{_MARK}\\2"), _MARK)
+        marked = pc.if_else(pa.array(apart), "", texts)
+        for edge in (_ENDED, _EDGE):
+            marked = pc.replace_substring_regex(marked, edge, f"\\1{_MARK}\\2")
+        cut = pc.split_pattern(marked, _MARK)
         coded = pc.dictionary_encode(cut.flatten())
         found = self._steps(coded.dictionary.to_pylist())
         index, counts = coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -179,7 +227,7 @@ def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_table(f"prefixes {path}", lambda: PrefixCounter(path))
-        for part in _parts(batches, 3, 2 << 20):
+        for part in _parts(batches, 3, 4 << 20):
             steps, bounds = counter.steps(part.column(3))
             total = np.r_[0, np.cumsum(steps, dtype=np.int64)]
             n = np.diff(bounds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,15 +42,14 @@ def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The registered domain: one label before the host's suffix, without user and port. A host of one label is its own,
     and so is a numeric address."""
     bare = _bare(host)
-    three = F.regexp_extract(bare, r"([^.]*\.)?[^.]*\.[^.]*$", 0)
-    two = F.regexp_extract(bare, r"([^.]*\.)?[^.]*$", 0)
+    three, two = F.substring_index(bare, ".", -3), F.substring_index(bare, ".", -2)
     return F.when(_is_address(bare), bare).when(two.isin(list(suffixes)), three).otherwise(two)
 
 
 def suffix_of(domain: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The last label of a domain, or the last two where they are in the list; a numeric address is its own."""
-    two = F.regexp_extract(domain, r"([^.]*\.)?[^.]*$", 0)
-    return F.when(_is_address(domain), domain).when(two.isin(list(suffixes)), two).otherwise(F.regexp_extract(domain, r"[^.]*$", 0))
+    two = F.substring_index(domain, ".", -2)
+    return F.when(_is_address(domain), domain).when(two.isin(list(suffixes)), two).otherwise(F.substring_index(domain, ".", -1))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -69,17 +68,53 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 LEAST_WORDS, MOST_SYMBOLS, MOST_CAPITALS, MOST_LINKS = 50, 0.02, 0.3, 0.5
 _TAGS = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
 _LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+#: What begins a part that goes with its content, letters of the same number in its place, and what ends that part.
+_PARTS = ((r"(?i)<script\b", "<xcript", "</script>"), (r"(?i)<style\b", "<xtyle", "</style>"), ("<!--", "<x--", "-->"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _split_at(html: Column, last: str, use: Callable[[Column, Column], Column]) -> Column:
+    """use of html up to and with the last place of `last` (in any case of letters), and of what follows."""
+    return _let(html, lambda whole: _let(F.regexp_extract(whole, f"(?is)^.*{last}", 0), lambda head: use(head, F.substr(whole, F.length(head) + 1))))
+
+
+def without_tags(html: Column) -> Column:
+    """html with a blank for each match of _TAGS, in time that grows with its length.
+
+    The pattern alone would look to the end of the page for each beginning that has no end. So beginnings behind the last
+    end of their kind are made plain tags first, which is what the pattern takes them for, and what is behind the last >
+    is left as it is; then wherever the pattern begins it ends, and goes on from there."""
+    own = html
+    for begin, stand_in, end in _PARTS:
+        own = _split_at(own, end, lambda head, rest, b=begin, s=stand_in: F.concat(head, F.regexp_replace(rest, b, s)))
+    ends = F.length(html) - F.length(F.substring_index(html, ">", -1))  # 0 without any
+    return F.concat(F.regexp_replace(F.left(own, ends), _TAGS, " "), F.substr(html, ends + 1))
+
+
+def link_text(html: Column) -> Column:
+    """The texts of html's links, as _LINK finds them, with blanks between. As above, in linear time: what is behind the
+    last </a> has no link, and no link begins behind the last > before that. An A there can come out as another letter."""
+    before = F.regexp_extract(html, "(?is)^(.*)</a>", 1)
+    links = _split_at(before, ">", lambda head, rest: F.concat(head, F.regexp_replace(rest, r"(?i)<a\b", "<b"), F.lit("</a>")))
+    return F.array_join(F.regexp_extract_all(links, F.lit(_LINK), F.lit(1)), " ")
 
 
 def good_page(html: Column) -> Column:
     """1 if a page's text outside of tags, scripts and styles is prose by the shares above, else 0; null for a null page.
-    Callers with labelled pages give that column to judge() instead."""
-    text = F.regexp_replace(html, _TAGS, " ")
-    linked = F.regexp_replace(F.array_join(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), " "), _TAGS, " ")
-    chars = F.length(F.regexp_replace(text, BLANKS, ""))
-    kept = lambda what: F.length(F.regexp_replace(text, what, ""))
-    good = (n_words(text) >= LEAST_WORDS) & (kept("[^#*$%&|<>{}]+") <= MOST_SYMBOLS * chars) & (kept("[^A-Z]+") <= MOST_CAPITALS * chars) & (F.length(F.regexp_replace(linked, BLANKS, "")) <= MOST_LINKS * chars)
-    return F.when(html.isNotNull(), good.cast("int"))
+    Callers with labelled pages give that column to judge() instead. Its time is linear in a page's length, whatever tags
+    the page opens and doesn't close."""
+    size = lambda text, without: F.length(F.regexp_replace(text, without, ""))
+
+    def prose(text: Column) -> Column:
+        few = lambda what, share: size(text, f"[^{what}]+") <= share * size(text, BLANKS)
+        links = size(_let(link_text(html), without_tags), BLANKS) <= MOST_LINKS * size(text, BLANKS)
+        return (n_words(text) >= LEAST_WORDS) & few("#*$%&|<>{}", MOST_SYMBOLS) & few("A-Z", MOST_CAPITALS) & links
+
+    return F.when(html.isNotNull(), _let(without_tags(html), prose).cast("int"))
 
 
 def _rho(groups: DataFrame, mean: str) -> float:
