@@ -1,0 +1,110 @@
+"""Mergeable aggregates, quantile sketches and exact percentiles against plain ones."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.operators import aggregates
+from tidemark.operators.aggregates import Quantiles, merged, percentiles, quantiles, states
+
+NAN, INF = float("nan"), float("inf")
+ODD = [0.0, -0.0, 1.5, -2.5, NAN, INF, -INF, 1e300, -1e-300, 5e-324]
+
+
+def number(x):
+    return (1, 0.0) if math.isnan(x) else (0, x)
+
+
+@settings(max_examples=200, deadline=None)
+@given(values=st.lists(st.one_of(st.sampled_from(ODD), st.floats(allow_nan=False), st.floats(0, 1)), min_size=1, max_size=80), size=st.sampled_from([2, 5, 1000]), seed=st.integers(0, 99))
+def test_sketches_merge_in_any_order_and_hold_their_ranks(values, size, seed):
+    how, rng = Quantiles(size), random.Random(seed)
+    whole = how.add(how.zero(), np.array(values))
+    parts = [how.add(how.zero(), np.array([v])) for v in values]
+    while len(parts) > 1:
+        a, b = parts.pop(rng.randrange(len(parts))), parts.pop(rng.randrange(len(parts)))
+        parts.append(how.unpack(how.pack(how.merge(a, b))))
+    assert how.pack(parts[0]) == how.pack(whole) and len(whole[1]) <= size
+    ordered = sorted(values, key=number)
+    for rank, v in enumerate(ordered):
+        low, high, before, within = how.holding(whole, rank)
+        assert number(low) <= number(v) <= number(high) and before <= rank < before + within
+        assert sum(number(x) < number(low) for x in values) == before and (size < 1000 or number(low) == number(high))
+
+
+def test_order_of_numbers():
+    values = sorted([x for x in ODD if x == x], key=number) + [NAN]
+    numbers = aggregates.numbers_of(np.array(values))
+    assert (np.diff(numbers) >= 0).all() and aggregates.numbers_of(np.array([-0.0]))[0] == aggregates.numbers_of(np.array([0.0]))[0]
+    assert [number(x) for x in aggregates.values_of(numbers)] == [number(x + 0.0) for x in values]
+
+
+def test_states_by_key_and_their_error(spark, monkeypatch):
+    """Many tasks, few states held, null keys and values; the known error holds, and is small on even values."""
+    monkeypatch.setattr(aggregates, "HELD", 2)
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "b", None, "none"]), i % 7, None) if i % 11 == 0 else (rng.choice(["a", "a", "b", None]), i % 7, rng.lognormvariate(0, 2)) for i in range(6000)]
+    df = spark.createDataFrame([*data, ("none", 1, None)], "k string, day int, v double").repartition(9)
+    how = Quantiles(64)
+    days = states(df, ["day", "k"], "v", how)
+    got = {r["k"]: r for r in quantiles(merged(days, ["k"], how), {"q": 0.5, "p": 0.99}, how).collect()}
+    for k in ("a", "b", None, "none"):
+        own = sorted(v for key, _, v in data if key == k and v is not None)
+        assert got[k]["n"] == len(own)
+        for name, share in (("q", 0.5), ("p", 0.99)):
+            if not own:
+                assert got[k][name] is None and got[k][f"{name}_error"] == 0
+                continue
+            below = sum(v < got[k][name] for v in own) / len(own)
+            assert share - got[k][f"{name}_error"] - 2 / len(own) <= below <= share and got[k][f"{name}_error"] < 0.1
+    one = states(df, [], "v", how).collect()
+    assert len(one) == 1 and one[0]["state"] == merged(days, [], how).first()["state"]
+    assert states(df.limit(0), ["k"], "v", how).count() == 0
+
+
+def test_another_aggregate(spark):
+    class Product:
+        """Of all values but zero, as its logarithm and sign: another aggregate of the same kind."""
+
+        zero = staticmethod(lambda: (0, 0))
+        merge = staticmethod(lambda a, b: (a[0] + b[0], a[1] ^ b[1]))
+        pack = staticmethod(lambda s: np.array(s, np.int64).tobytes())
+        unpack = staticmethod(lambda d: tuple(np.frombuffer(d, np.int64).tolist()))
+
+        def add(self, state, values):
+            return self.merge(state, (int(np.round(np.log2(np.abs(values))).sum()), int((values < 0).sum() & 1)))
+
+    df = spark.range(40).selectExpr("id % 3 AS k", "power(2D, id % 5) * if(id % 7 = 0, -1, 1) AS v")
+    got = {r["k"]: Product.unpack(r["state"]) for r in states(df, ["k"], "v", Product()).collect()}
+    assert got == {k: (sum(i % 5 for i in range(k, 40, 3)), sum(i % 7 == 0 for i in range(k, 40, 3)) % 2) for k in range(3)}
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_percentiles_of_a_hot_key(spark, size):
+    """A key with most rows, one with equal values, single ones, nulls, NaN and infinity; all in a few ranges at a time."""
+    rng = random.Random(4)
+    data = [("hot", rng.choice([rng.gauss(0, 1), 1e6 + rng.random(), float(rng.randint(0, 9))])) for _ in range(900)] + [("same", 3.0)] * 50 + [("one", -7.5)] + [(None, float(i)) for i in range(4)] + [("none", None)] * 3
+    data += [("odd", x) for x in ODD] + [("hot", None)] * 9
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    shares = {"least": 0.0, "some": 0.37, "median": 0.5, "most": 1.0}
+    got = {r["k"]: r for r in percentiles(df, ["k"], "v", shares, size).collect()}
+    for k in ("hot", "same", "one", None, "none", "odd"):
+        own = sorted((v for key, v in data if key == k and v is not None), key=number)
+        assert got[k]["n"] == len(own)
+        for name, share in shares.items():
+            if k == "odd":
+                continue
+            want = None if not own else float(np.percentile(own, 100 * share))
+            assert got[k][name] == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-12))
+    assert got["odd"]["least"] == -INF and math.isnan(got["odd"]["most"])
+    alone = percentiles(df.where("k = 'hot'"), [], "v", {"m": 0.5}, size).collect()
+    assert len(alone) == 1 and alone[0]["m"] == got["hot"]["median"]
+    assert percentiles(df.limit(0), ["k"], "v", shares, size).count() == 0
+    with pytest.raises(ValueError):
+        percentiles(df, ["k"], "v", shares, 8)

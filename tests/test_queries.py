@@ -8,9 +8,10 @@ import pytest
 
 from tidemark.plans import relational, timeseries
 from tidemark.streaming import queries as streams
+from tidemark.streaming import stateful
 
-QUERIES = relational.QUERIES | timeseries.QUERIES | streams.QUERIES
-SQL = relational.ORACLE_SQL | timeseries.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES = relational.QUERIES | timeseries.QUERIES | streams.QUERIES | stateful.QUERIES
+SQL = relational.ORACLE_SQL | timeseries.ORACLE_SQL | streams.ORACLE_SQL | stateful.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

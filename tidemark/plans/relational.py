@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine, json_long
+from tidemark.operators.aggregates import Quantiles, merged, percentiles, quantiles, states
 from tidemark.operators.joins import range_join, salted_join
+from tidemark.sources.shared import kept
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -144,10 +146,13 @@ def aggregate_cube(spark: SparkSession, sf: str) -> DataFrame:
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-@query(f"SELECT user_id, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)} FROM events GROUP BY user_id")
+@query(f"SELECT user_id, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)}, count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN {EVENT_TYPES}) AS other FROM events GROUP BY user_id")
 def aggregate_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.count("user_id"))
-    return rows.select("user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in EVENT_TYPES])
+    """A column for each type that is named here, and one for all others, null ones too."""
+    named = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("other")
+    columns = [*EVENT_TYPES, "other"]
+    rows = table(spark, sf, "events").select("user_id", named.alias("kind")).groupBy("user_id").pivot("kind", columns).agg(F.count("*"))
+    return rows.select("user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
@@ -155,6 +160,25 @@ def aggregate_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
 
 
+@query("""SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem GROUP BY l_returnflag""")
+def percentiles_by_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles of three large groups, none of which is in one task."""
+    found = percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p25": 0.25, "median": 0.5, "p999": 0.999})
+    return found.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("p01", "p25", "median", "p999")])
+
+
+@query("SELECT event_type, count(DISTINCT ts::DATE) AS n_days, count(value) AS n, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY event_type")
+def aggregate_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantile sketches of each day and type, kept as a table of bytes, and merged over days: exact while a type has no more
+    different values than a sketch has ranges (8192), else the low end of a range, with the error that quantiles() gives."""
+    how = Quantiles()
+    events = table(spark, sf, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "value")
+    days = kept(states(events, ["day", "event_type"], "value", how), "daily-sketches")
+    whole = quantiles(merged(days, ["event_type"], how), {"median": 0.5, "p90": 0.9}, how)
+    return whole.join(days.groupBy("event_type").agg(F.count("*").alias("n_days")), "event_type").select("event_type", "n_days", "n", "median", "p90")
+
+
 @query("""SELECT event_type, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2) - 3, 6) AS kurt, round(sqrt(m2), 6) AS deviation
 FROM (SELECT event_type, avg((value - m) ** 2) AS m2, avg((value - m) ** 3) AS m3, avg((value - m) ** 4) AS m4 FROM events JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) USING (event_type) GROUP BY event_type)""")
 def aggregate_moments(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators.intervals import interval_join
 from tidemark.operators.joins import asof_join
 from tidemark.operators.spans import ranks
 from tidemark.sources.tables import table
@@ -82,6 +83,26 @@ def windows_session(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
+@query("""SELECT p.event_id AS purchase_id, e.event_id AS error_id, p.ts AS bought, e.ts AS failed, e.until FROM events p
+JOIN (SELECT event_id, ts, ts + to_microseconds(round(value * 1000000)::BIGINT) AS until FROM events WHERE event_type = 'error' AND value > 0) e ON p.event_type = 'purchase' AND p.ts < e.until AND e.ts < p.ts + INTERVAL 5 MINUTE""")
+def join_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases, each of which takes five minutes, with the errors that were open meanwhile, each for its value in seconds."""
+    e = _events(spark, sf)
+    bought = e.where("event_type = 'purchase'").selectExpr("event_id AS purchase_id", "ts AS bought", "ts + INTERVAL 5 MINUTES AS done")
+    failed = e.where("event_type = 'error'").selectExpr("event_id AS error_id", "ts AS failed", "ts + make_dt_interval(0, 0, 0, cast(value AS decimal(18, 6))) AS until")
+    return interval_join(bought, failed, ("bought", "done"), ("failed", "until"), 300.0).drop("done")
+
+
+@query("""SELECT user_id, start, stop, event_id AS error_id FROM (SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+(SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s)
+LEFT JOIN (SELECT user_id AS u, event_id, ts, ts + to_microseconds(round(value * 60000000)::BIGINT) AS until FROM events WHERE event_type = 'error' AND value > 0) e ON u = user_id AND start < until AND e.ts < stop""")
+def join_intervals_left(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with the errors of their user that were open meanwhile, each for its value in minutes; nulls without any."""
+    failed = _events(spark, sf).where("event_type = 'error'").selectExpr("user_id", "event_id AS error_id", "ts AS failed", "ts + make_dt_interval(0, 0, 0, cast(value * 60 AS decimal(18, 6))) AS until")
+    found = interval_join(windows_session(spark, sf).drop("n"), failed, ("start", "stop"), ("failed", "until"), 3600.0, by=["user_id"], how="left")
+    return found.select("user_id", "start", "stop", "error_id")
+
+
 _FILLED = f"""SELECT event_type, bar, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, coalesce(close, c) AS close, coalesce(n, 0) AS n FROM
 (SELECT k.event_type, k.bar, open, high, low, close, n, last_value(close IGNORE NULLS) OVER (PARTITION BY k.event_type ORDER BY k.bar ROWS UNBOUNDED PRECEDING) AS c FROM
  (SELECT event_type, unnest(generate_series(min(bar), max(bar), INTERVAL 1 HOUR))::TIMESTAMP AS bar FROM ({_bars_sql("1 HOUR")}) GROUP BY event_type) k LEFT JOIN ({_bars_sql("1 HOUR")}) b USING (event_type, bar))"""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.sources.shared import new_path
+
 #: How long after the latest time seen rows still count.
 LATE = "10 minutes"
 
@@ -29,19 +30,19 @@ def stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 16)
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def written(rows: DataFrame, mode: str, name: str) -> DataFrame:
+def run(rows: DataFrame, mode: str, name: str) -> tuple[DataFrame, list[dict]]:
     """Runs a stream over all there is, into Parquet files of the shared folder, a folder for each micro-batch. The
     result has the stream's columns and batch, the micro-batch's number; nothing comes to the driver. A micro-batch that
-    runs again replaces its own files."""
+    runs again replaces its own files. Beside it, what Spark tells of the last micro-batches."""
     spark, schema = rows.sparkSession, rows.schema
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
-    path = f"{folder}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     writer = rows.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
-    writer.start().awaitTermination()
+    done = writer.start()
+    done.awaitTermination()
     kind = StructType([*schema.fields, StructField("batch", LongType())])
     found = spark.createDataFrame([], kind)
     try:
@@ -49,7 +50,12 @@ def written(rows: DataFrame, mode: str, name: str) -> DataFrame:
     except AnalysisException as missing:  # a stream without rows has no micro-batch
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-    return found
+    return found, [json.loads(p.json) for p in done.recentProgress]
+
+
+def written(rows: DataFrame, mode: str, name: str) -> DataFrame:
+    """The table of run()."""
+    return run(rows, mode, name)[0]
 
 
 @contextmanager
@@ -78,7 +84,8 @@ def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class Totals(StatefulProcessor):
-    """Events and value of each user so far. The state is one row a user, whatever the number of events."""
+    """Events and value of each user so far. The state is one row for each user that ever was, whatever the number of
+    events: totals over all time have nothing to forget. stateful.visits is the form whose users leave."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.so_far = handle.getValueState("so_far", "n long, total double")
