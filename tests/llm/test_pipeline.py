@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import line_dedup, mixing, rule_ensemble
+from tidemark.llm import line_dedup, mixing, rule_ensemble, simhash
 from tidemark.llm.queries import MIX, RUN_WORDS, tokenizer
 
 
@@ -70,7 +70,7 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     rows = checked(got, want)
     assert 0 < len(rows) < docs.count()
 
-    got = given("simhash near-dedup")
+    got = given("near-dedup by shingles")
     stay = plain_near([(r[0], r[1] or "") for r in rows])
     rows = checked(got, [r for r in rows if r[0] in stay])
 
@@ -82,9 +82,12 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     assert all(r[4] == len(r[1]) for r in got) and any(n for _, n, *_ in cut)
     rows = got
 
-    con.register("before", spark.createDataFrame(rows, docs.schema).toPandas())
-    taken = con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('before', **MIX)})").fetchall()
     got = given("mixing sources")
+    before = spark.createDataFrame(rows, docs.schema).toPandas()
+    before["score"] = [plain_score(models[-1], rule_ensemble._of((r[1] or "").encode())) for r in rows]
+    assert len(models) == 2 and before["score"].nunique() > 5  # the classifier is fitted again, on the table
+    con.register("before", before)
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('before', quality='score', **MIX)})").fetchall()
     times = Counter(r[0] for r in got)
     assert {i: times[i] * size for i, size, _ in taken} == {i: words for i, _, words in taken}
     assert set(got) <= set(rows)
@@ -111,6 +114,31 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     assert final.sequence_id.nunique() == packed.sequence_id.nunique()
 
 
+def test_better_documents_are_taken_more_often(spark, tmp_path):
+    """In the part of an epoch that a source has left, by the classifier fitted on the folder's documents."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words, 60)) + (". " if i % 2 else " $$ ## | 99 && ") * 9, "en", "src0" if i < 200 else "src1", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 1200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(r["doc_id"] % 2 for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).where("source = 'src1'").select("doc_id").collect())
+    assert got[1] > 1.1 * got[0] > 0
+
+
+def test_very_long_near_copies(spark, monkeypatch):
+    """Tiles are bounded by shingles too: long texts and small bounds give the same groups."""
+    rng = np.random.default_rng(9)
+    long = [f"w{x}" for x in rng.integers(0, 50_000, 40_000)]
+    texts = [long, long[:-2000], long[3000:], long[: len(long) // 2], ["x", *long], *[[f"v{x}" for x in rng.integers(0, 300, 60)] for _ in range(40)]]
+    texts += [[*t[:30], "other", *t[31:]] for t in texts[5:25]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = plain_near([(i, " ".join(t)) for i, t in enumerate(texts)])
+    for bound in (simhash.SHINGLES, 50):
+        monkeypatch.setattr(simhash, "SHINGLES", bound)
+        assert {r["doc_id"] for r in corpus_pipeline.near_deduplicated(spark, docs, "").collect()} == want
+
+
 def test_stages_take_and_give_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}

@@ -122,14 +122,15 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     return every.withColumn("_tm_n", F.explode(F.sequence(F.lit(1), F.col("_tm_n").cast("int")))).select(*docs.columns)
 
 
-def oracle(documents: str, weights: Sequence[float], share: float, most: float, seed: str) -> str:
-    """The same mix in one statement, with sorts of whole sources."""
+def oracle(documents: str, weights: Sequence[float], share: float, most: float, seed: str, quality: str | None = None) -> str:
+    """The same mix in one statement, with sorts of whole sources. quality is a column of documents, without null or NaN."""
     odd = "length(text) - length(regexp_replace(text, '[#*$%&|<>0-9]', '', 'g'))"
+    own = quality or f"coalesce(CASE WHEN length(text) > 0 THEN 1 - ({odd})::DOUBLE / length(text)::DOUBLE END, 0)"
     case = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(weights))
     return f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS size,
-         greatest({LEAST_QUALITY}::DOUBLE, coalesce(CASE WHEN length(text) > 0 THEN 1 - ({odd})::DOUBLE / length(text)::DOUBLE END, 0)) AS w,
+         least(1::DOUBLE, greatest({LEAST_QUALITY}::DOUBLE, {own})) AS w,
          md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))) AS tie
   FROM {documents}),
 k AS (SELECT *, -ln((('0x' || tie[1:12])::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / w AS key FROM d),

@@ -120,11 +120,19 @@ def remainder(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(-1)).cast("int")
 
 
+def fit_seen(docs: DataFrame, labels: DataFrame, folds: int = 5, **how) -> RuleEnsemble:
+    """fit() on the labels that aren't held out: those whose id has a remainder other than 0."""
+    return fit(docs, labels.where(remainder(F.col("doc_id"), folds) != 0), **how)
+
+
+def scored(docs: DataFrame, model: RuleEnsemble, score_col: str = "score") -> DataFrame:
+    """docs with the model's score of each text, null and blank ones too. A column of docs with that name is replaced."""
+    return with_statistics(docs, "_tm_statistics").withColumn(score_col, model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, score_col: str = "score", predicted_col: str = "predicted", **how) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold, else 0) for every row; labels whose id has
     remainder 0 are held out. Null and blank texts have a score like others. Columns of docs with these
     two names are replaced."""
-    model = fit(docs, labels.where(remainder(F.col("doc_id"), folds) != 0), **how)
-    rows = with_statistics(docs, "_tm_statistics")
-    rows = rows.withColumn(score_col, model.score(F.col("_tm_statistics"))).drop("_tm_statistics")
+    rows = scored(docs, fit_seen(docs, labels, folds, **how), score_col)
     return rows.withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0))

@@ -250,6 +250,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) ->
     return made.join(again, "node", "left_anti").unionByName(made.join(again, "node").dropDuplicates(["node"]))
 
 
+#: Shingles of one block of a tile, 8 bytes each.
+SHINGLES = 1 << 21
+
+
 class _Near:
     """Whether rows (size, check, grams) are near: first by what a similarity needs of the sizes and, where there are
     many shingles, by a sketch that is 6 deviations off (one pair in a billion), then by the shingles."""
@@ -271,7 +275,8 @@ class _Near:
 
 def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Links (a, b) between nodes that connect, by way of others in part, all members (seg, val, node, size) of a bucket
-    that are near.
+    that are near. Tiles are bounded by rows (twice `tile`) and by shingles (twice SHINGLES, or what one text alone has), so
+    long texts make more of them.
 
     Members are compared with their bucket's hub first, which is as many pairs as members and connects most groups of
     copies. Buckets that are not in one component then are compared in tiles, except within components.
@@ -298,14 +303,16 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
 
     component = connected_components(links)
     named = members.join(component.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stage(named.select("seg", "val", "node", "root"), "members-named")
+    named = named.join(sets.select("node", F.col("size").cast("long").alias("shingles")), "node")
+    named = stage(named.select("seg", "val", "node", "root", "shingles"), "members-named")
     # buckets with the same members are one
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
     apart = named.groupBy("seg", "val").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"), *marks).where("size > 2 and least <> most")
     apart = apart.groupBy("mark1", "mark2", "size").agg(F.min(F.struct("seg", "val")).alias("bucket")).select("bucket.seg", "bucket.val", "size")
     named = stage(named.join(stage(apart, "buckets-apart"), ["seg", "val"]), "members-apart")
-    roots = named.groupBy("seg", "val", "size", "root").agg(F.count("*").alias("n"))
-    large = roots.groupBy("seg", "val", "size").agg(F.max(F.struct("n", "root")).alias("large")).select("seg", "val", F.col("large.root").alias("large"), F.col("large.n").alias("n_large"), (F.col("size") - F.col("large.n")).alias("n_others"))
+    roots = named.groupBy("seg", "val", "size", "root").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    large = roots.groupBy("seg", "val", "size").agg(F.max(F.struct("n", "root", "shingles")).alias("large"), F.sum("shingles").alias("shingles"))
+    large = large.select("seg", "val", F.col("large.root").alias("large"), F.col("large.n").alias("n_large"), (F.col("size") - F.col("large.n")).alias("n_others"), F.col("large.shingles").alias("s_large"), (F.col("shingles") - F.col("large.shingles")).alias("s_others"))
     keys = ["seg", "val", "tile_i", "tile_j"]
     tiles = _tiles(named.join(stage(large, "largest-components"), ["seg", "val"]), tile)
     tiles = stage(tiles.select(*keys, "own", "root", "node"), "tiles").join(sets, "node")
@@ -338,8 +345,8 @@ def _tiles(members: DataFrame, tile: int) -> DataFrame:
     """Cuts buckets (seg, val) into tiles of bounded size, in which all members of different components meet. A bucket's
     largest component (large, of n_large members) is dealt into blocks of its own, and those meet only the blocks of the
     n_others; so a large group with a few other members costs a row for each member, not one for each pair of blocks."""
-    dealt = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(float(tile)))).cast("int")
-    rows = members.withColumns({"others": dealt("n_others"), "blocks": dealt("n_others") + dealt("n_large"), "is_large": F.col("root") == F.col("large")})
+    dealt = lambda of: F.greatest(F.lit(1), F.ceil(F.col(f"n_{of}") / F.lit(float(tile))), F.ceil(F.col(f"s_{of}") / F.lit(float(SHINGLES)))).cast("int")
+    rows = members.withColumns({"others": dealt("others"), "blocks": dealt("others") + dealt("large"), "is_large": F.col("root") == F.col("large")})
     spread = F.xxhash64("node")
     own = F.when(F.col("is_large"), F.col("others") + F.pmod(spread, F.col("blocks") - F.col("others"))).otherwise(F.pmod(spread, F.col("others")))
     last = F.when(F.col("is_large"), F.col("others")).otherwise(F.col("blocks")) - 1
