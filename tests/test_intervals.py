@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.dominance import dominated
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.joins import asof_join, range_join, salted_join
 
@@ -112,3 +113,22 @@ def test_equal_rows_of_a_hot_key_go_to_all_salts(spark):
     assert got.count() == 1000 and got.columns == ["k", "v", "w"]
     salts = spark.read.parquet(next(f for f in got.inputFiles() if "salted" in f)).groupBy("_salt").count().collect()
     assert sorted(r["count"] for r in salts) == [125] * 8
+
+
+def test_dominance_against_brute_force(spark, capsys):
+    """One key with most rows, ties in both orders, nulls, NaN, repeated rows, clashing names; no pairs in the plan."""
+    rng = random.Random(5)
+    data = [(i, "a" if i % 7 else None, rng.choice([rng.randint(0, 300), 7, None]), rng.choice([rng.uniform(0, 9), 3.0, NAN, None]), rng.choice([rng.randint(-9, 9), None])) for i in range(250)]
+    data += [data[3], data[3], (999, "alone", 1, 1.0, 5)]
+    df = spark.createDataFrame(data, "id int, k string, t int, v double, n_below int")
+    less = lambda a, b: a is not None and b is not None and a == a and (b != b or a < b)
+    want = Counter()
+    for i, k, t, v, _ in data:
+        own = [s or 0 for _, k2, t2, v2, s in data if k2 == k and less(t2, t) and less(v2, v)]
+        want[i, len(own), sum(own)] += 1
+    got = dominated(df.withColumnRenamed("n_below", "s").withColumn("n_below", F.lit("x")), ["k"], "t", "v", "s", 50, 1.0)
+    assert Counter(tuple(r) for r in got.select("id", "n_below", "total_below").collect()) == want
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert dominated(df.limit(0), ["k"], "t", "v", "id", 50, 1.0).count() == 0

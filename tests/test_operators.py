@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators import bars as B
 from tidemark.operators.joins import asof_join, range_join, salted_join
-from tidemark.operators.spans import ranks
+from tidemark.operators.spans import framed, ranks
 from tidemark.sources.tables import save, table
 
 
@@ -142,3 +142,28 @@ def test_ranks_with_ties_nulls_and_nan(spark, width):
     got = ranks(df, "k", "v", "id", tiles=4, width=width, tie_width=10)
     assert rows(got.select("k", "id", "r", "d", "quarter", "p", "c"), "id") == rows(want, "id")
     assert ranks(df.limit(0), "k", "v", "id", 4, width, 10).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 10, 10_000])
+def test_frames_across_spans(spark, width, capsys):
+    """As a plain window gives them: one key with most rows, ties, nulls, a reach over many spans; a plan by key and span."""
+    data = [(i, "a" if i % 9 else None, (i * 37) % 200 if i % 11 else None, float(i % 13) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, k string, t int, v double")
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-25, 0)
+    sums = {"n": F.count("*"), "s": F.sum("v"), "m": F.max("v"), "v": F.min("v")}
+    want = rows(df.select("id", *[c.over(w).alias(n) for n, c in sums.items()]), "id")
+    got = framed(df, ["k"], "t", 25, sums, width)
+    assert got.columns == ["id", "k", "t", "n", "s", "m", "v"] and rows(got.select("id", *sums), "id") == want
+    got.explain()
+    assert "hashpartitioning(k#" in (plan := capsys.readouterr().out) and ", _tm_span#" in plan
+    assert framed(df.limit(0), ["k"], "t", 25, sums, width).count() == 0
+
+
+def test_frames_of_times(spark):
+    data = [(i, at(i * 7.3) + dt.timedelta(microseconds=i % 3)) for i in range(300)]
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(data, "id int, t timestamp_ntz").withColumn("t", F.col("t").cast(kind))
+        got = rows(framed(df, [], "t", 3600, {"n": F.count("*")}, 3600).select("id", "n"), "id")
+        assert got == [(i, sum(x - dt.timedelta(hours=1) <= y <= x for _, y in data)) for i, x in data]
+    with pytest.raises(ValueError):
+        framed(df.withColumn("t", F.lit(1.0)), [], "t", 1, {"n": F.count("*")}, 1)

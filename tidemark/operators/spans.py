@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, IntegralType, TimestampNTZType, TimestampType
 
 
 def span_of(at: Column, kind: DataType, width: float) -> Column:
@@ -24,6 +24,39 @@ def span_of(at: Column, kind: DataType, width: float) -> Column:
     return F.floor(at.cast("double") / F.lit(float(width)))
 
 
+def _whole(at: Column, kind: DataType) -> tuple[Column, int]:
+    """at as an integer in its order, and how many of those are a second (dates and times) or a unit (integers)."""
+    if isinstance(kind, TimestampNTZType):
+        minutes = (F.unix_date(at.cast("date")) * F.lit(1440).cast("long") + F.hour(at) * 60 + F.minute(at)) * 60_000_000
+        return minutes + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long"), 1_000_000
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(at), 1_000_000
+    if isinstance(kind, DateType):
+        return F.unix_date(at) * F.lit(86400).cast("long"), 1
+    if isinstance(kind, IntegralType):
+        return at.cast("long"), 1
+    raise ValueError(f"frames over {kind.simpleString()} aren't exact in integers")
+
+
+def framed(rows: DataFrame, keys: Sequence[str], at: str, reach: int, aggregates: Mapping[str, Column], width: int) -> DataFrame:
+    """rows with each of aggregates (name: F.sum("x") and the like) over the key's rows from `reach` before a row's `at` up
+    to and with it, rows of one time being equal: what a window of RANGE BETWEEN reach PRECEDING AND CURRENT ROW gives.
+    reach and width are seconds for dates and times, units for integers.
+
+    A key is cut into spans of `width`, and a row stands in its own span and in those that its reach goes on to (the halo):
+    for a width of reach or more that is two at most. So a key with a third of all rows is as many tasks as it has spans,
+    and a task holds the rows of one span and of the reach before it. Rows without a time see the key's others without
+    one. Columns of rows with the new names are replaced."""
+    whole, unit = _whole(F.col(at), rows.schema[at].dataType)
+    span = lambda place: F.floor(place / F.lit(width * unit)).cast("long")
+    cut = rows.withColumn("_tm_at", whole).withColumn("_tm_own", span(F.col("_tm_at")))
+    met = F.coalesce(F.sequence("_tm_own", span(F.col("_tm_at") + reach * unit)), F.array(F.lit(None).cast("long")))
+    frame = Window.partitionBy(*keys, "_tm_span").orderBy("_tm_at").rangeBetween(-reach * unit, 0)
+    kept = [c for c in rows.columns if c not in aggregates]
+    found = cut.withColumn("_tm_span", F.explode(met)).select(*kept, "_tm_own", "_tm_span", *[c.over(frame).alias(n) for n, c in aggregates.items()])
+    return found.where(F.col("_tm_own").eqNullSafe(F.col("_tm_span"))).drop("_tm_own", "_tm_span")
+
+
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amounts: Mapping[str, str], width: float) -> DataFrame:
     """rows with, for each new name: column of amounts, the sum of that column over the key's rows up to and with this
     one, in ascending `order` (nulls first), and as {name}_all that over all of the key's. Spans are those of

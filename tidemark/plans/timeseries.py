@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators.dominance import dominated
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.joins import asof_join
-from tidemark.operators.spans import ranks
+from tidemark.operators.spans import framed, ranks
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -59,6 +60,14 @@ def window_time_range(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).selectExpr("user_id", "event_id", frame)
 
 
+@query("SELECT event_type, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS total, min(value) OVER w AS least, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)")
+def window_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of six hours within five event types, in spans of a day with a halo, so that no type needs one task."""
+    frames = {"n": F.count("*"), "total": F.sum("value"), "least": F.min("value"), "most": F.max("value")}
+    found = framed(_events(spark, sf).select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", 6 * 3600, frames, 86_400)
+    return found.select("event_type", "event_id", "n", F.round("total", 6).alias("total"), "least", "most")
+
+
 @query(_bars_sql("1 HOUR"))
 def bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return B.bars(_events(spark, sf), "1 hour")
@@ -83,6 +92,15 @@ def windows_session(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
+@query("""SELECT e.event_id, count(p.event_id) AS n_below, coalesce(sum(p.value::DECIMAL(18, 2)), 0)::DOUBLE AS total_below
+FROM events e LEFT JOIN events p ON p.event_type = e.event_type AND p.ts < e.ts AND p.value < e.value GROUP BY e.event_id""")
+def join_dominance(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event the number and sum of earlier, smaller ones of its type, without making the pairs."""
+    e = _events(spark, sf).select("event_id", "event_type", "ts", "value", F.col("value").cast("decimal(18, 2)").alias("amount"))
+    found = dominated(e, ["event_type"], "ts", "value", "amount", x_width=86_400, y_width=1.0)
+    return found.select("event_id", "n_below", F.col("total_below").cast("double").alias("total_below"))
+
+
 @query("""SELECT p.event_id AS purchase_id, e.event_id AS error_id, p.ts AS bought, e.ts AS failed, e.until FROM events p
 JOIN (SELECT event_id, ts, ts + to_microseconds(round(value * 1000000)::BIGINT) AS until FROM events WHERE event_type = 'error' AND value > 0) e ON p.event_type = 'purchase' AND p.ts < e.until AND e.ts < p.ts + INTERVAL 5 MINUTE""")
 def join_intervals(spark: SparkSession, sf: str) -> DataFrame:
