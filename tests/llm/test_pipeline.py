@@ -82,12 +82,9 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     assert all(r[4] == len(r[1]) for r in got) and any(n for _, n, *_ in cut)
     rows = got
 
+    con.register("before", spark.createDataFrame(rows, docs.schema).toPandas())
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('before', **MIX)})").fetchall()
     got = given("mixing sources")
-    before = spark.createDataFrame(rows, docs.schema).toPandas()
-    before["score"] = [plain_score(models[-1], rule_ensemble._of((r[1] or "").encode())) for r in rows]
-    assert len(models) == 2 and before["score"].nunique() > 5  # the classifier is fitted again, on the table
-    con.register("before", before)
-    taken = con.execute(f"SELECT doc_id, size, taken FROM ({mixing.oracle('before', quality='score', **MIX)})").fetchall()
     times = Counter(r[0] for r in got)
     assert {i: times[i] * size for i, size, _ in taken} == {i: words for i, _, words in taken}
     assert set(got) <= set(rows)
@@ -114,16 +111,22 @@ def test_stages_against_brute_force(spark, sf, monkeypatch):
     assert final.sequence_id.nunique() == packed.sequence_id.nunique()
 
 
-def test_better_documents_are_taken_more_often(spark, tmp_path):
-    """In the part of an epoch that a source has left, by the classifier fitted on the folder's documents."""
+def test_better_documents_are_taken_more_often(spark):
+    """In the part of an epoch that a source has left, with the classifier's score as quality; the same
+    as in SQL."""
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(500)]
     rows = [(i, " ".join(rng.choice(words, 60)) + (". " if i % 2 else " $$ ## | 99 && ") * 9, "en", "src0" if i < 200 else "src1", 0) for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 1200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = Counter(r["doc_id"] % 2 for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).where("source = 'src1'").select("doc_id").collect())
-    assert got[1] > 1.1 * got[0] > 0
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    scored = rule_ensemble.scored(docs, rule_ensemble.fit_seen(docs, labels), "mark").drop("n_chars").persist()
+    got = Counter(r["doc_id"] for r in mixing.mixed_rows(scored, quality=F.col("mark"), **MIX).where("source = 'src1'").select("doc_id").collect())
+    good, bad = (sum(n for i, n in got.items() if i % 2 == k) for k in (1, 0))
+    assert good > 1.1 * bad > 0
+    con = duckdb.connect()
+    con.register("before", scored.toPandas())
+    want = con.execute(f"SELECT doc_id, taken // size FROM ({mixing.oracle('before', quality='mark', **MIX)}) WHERE doc_id >= 200 AND taken > 0").fetchall()
+    assert got == dict(want)
 
 
 def test_very_long_near_copies(spark, monkeypatch):
