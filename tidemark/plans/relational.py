@@ -151,7 +151,7 @@ def aggregate_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """A column for each type that is named here, and one for all others, null ones too."""
     named = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("other")
     columns = [*EVENT_TYPES, "other"]
-    rows = table(spark, sf, "events").select("user_id", named.alias("kind")).groupBy("user_id").pivot("kind", columns).agg(F.count("*"))
+    rows = table(spark, sf, "events").select("user_id", named.alias("kind")).groupBy("user_id").pivot("kind", columns).agg(F.count(F.lit(1)))
     return rows.select("user_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns])
 
 
