@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators import bars as B
 from tidemark.operators.joins import asof_join, range_join, salted_join
-from tidemark.operators.spans import framed, ranks
+from tidemark.operators.spans import framed, ranks, scanned
+from tidemark.plans import timeseries
 from tidemark.sources.tables import save, table
 
 
@@ -132,6 +134,64 @@ def test_exponential_across_spans_nulls_and_warm_up(spark, span):
     assert [r[1] for r in got[:40]] == [2 * i for i in range(40)]
 
 
+def test_scan_of_arrays(spark):
+    """Null, empty, shorter and longer than a block, with a state that can be null."""
+    df = spark.createDataFrame([(0, None), (1, [])] + [(n, [None if i % 9 == 8 else i for i in range(n)]) for n in (2, 3, 4, 7, 25)], "n int, xs array<int>")
+    got = dict(rows(df.select("n", scanned(F.col("xs"), F.lit(1), lambda s, x: F.coalesce(s + x, x), block=3)), "n"))
+    for n in (2, 3, 4, 7, 25):
+        want, s = [], 1
+        for i in range(n):
+            x = None if i % 9 == 8 else i
+            s = x if x is None or s is None else s + x
+            want.append(s)
+        assert got[n] == want
+    assert got[0] is None and got[1] == []
+
+
+def test_exponential_of_a_long_span_is_linear(spark):
+    """A span of 60,000 rows, which took minutes while each row copied all before it."""
+    made = spark.range(60_000).selectExpr("'a' AS event_type", "id AS bar", "double(id % 10) AS close")
+    began = time.perf_counter()
+    assert B.exponential(made, 0.5, span=1e9).count() == B.exponential(made, 0.5, span=1e9).where("ema BETWEEN 0 AND 9").count() == 60_000
+    assert time.perf_counter() - began < 40
+
+
+def replayed(data, moves, start=0):
+    """Brute force: rows (key, at, x) in order of at and moves."""
+    out = []
+    for key in {k for k, _, _ in data}:
+        s = start
+        for _, a, to in sorted(((a is not None, a if a is not None else 0, tuple(moves(x))) for k, a, x in data if k == key)):
+            s = to[s] if to[s] in range(len(to)) else s
+            out.append((key, a if _ else None, s))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("span", [1, 10, 1e9])
+def test_positions_across_spans(spark, span):
+    """Ties, rows without an order, a null key, null moves and moves to no state."""
+    data = [(("a", "b", None)[i % 3] if i % 2 else "a", (i * 37) % 90 if i % 17 else None, i * 11 % 13) for i in range(200)]
+    df = spark.createDataFrame(data, "event_type string, bar int, x int")
+    moves = [F.when(F.col("x") > 8, 1).when(F.col("x") == 3, 7).otherwise(0), F.when(F.col("x") < 2, 2).when(F.col("x") < 5, 0).otherwise(1), F.when(F.col("x") == 6, 0)]
+    python = lambda x: (1 if x > 8 else 0, 2 if x < 2 else 0 if x < 5 else 1, 0 if x == 6 else 2)
+    got = sorted(map(tuple, B.positions(df, moves, span=span).collect()), key=str)
+    assert got == replayed(data, python)
+    assert sorted(map(tuple, B.positions(df, moves, start=2, span=span).collect()), key=str) == replayed(data, python, 2)
+    assert B.positions(df.limit(0), moves, span=span).count() == 0
+    with pytest.raises(ValueError):
+        B.positions(df, moves, start=3)
+
+
+def test_positions_do_not_look_ahead(spark, sf, tmp_path):
+    """What events come later changes no state that is known before."""
+    whole = {(r["event_type"], r["bar"]): r["state"] for r in timeseries.bars_strategy(spark, sf).collect()}
+    cut = sorted(b for _, b in whole)[len(whole) // 2]
+    spark.read.parquet(f"{sf}/events.parquet").where(F.col("ts") < F.lit(cut)).write.parquet(f"{tmp_path}/events.parquet")
+    early = {(r["event_type"], r["bar"]): r["state"] for r in timeseries.bars_strategy(spark, str(tmp_path)).collect()}
+    assert early and early == {k: s for k, s in whole.items() if k[1] < cut}
+    assert set(whole.values()) == {0, 1, 2}
+
+
 @pytest.mark.parametrize("width", [0.5, 1e9])
 def test_ranks_with_ties_nulls_and_nan(spark, width):
     """As Spark's own windows give them, where a key has few rows, a hot value, nulls or NaN."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import asof_join
-from tidemark.operators.spans import span_of
+from tidemark.operators.spans import scanned, span_of
 
 SPAN = {"1 hour": 3600, "4 hours": 4 * 3600, "1 day": 24 * 3600}
 
@@ -48,19 +50,17 @@ def exponential(rows: DataFrame, alpha: float, value: str = "close", key: str =
     keep = 1.0 - alpha
     at = F.col(order)
     spans = rows.groupBy(F.col(key), span_of(at, rows.schema[order].dataType, span).alias("_span")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("x")))).alias("xs"))
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    step = lambda acc, p: F.array_append(acc, F.coalesce(alpha * p["x"] + keep * last(acc), p["x"]))
-    spans = spans.withColumn("own", F.aggregate("xs", F.array().cast("array<double>"), step)).withColumn("n", F.size("xs"))
+    none = F.lit(None)
+    spans = spans.withColumn("own", scanned(F.col("xs"), none.cast("double"), lambda e, p: F.coalesce(alpha * p["x"] + keep * e, p["x"]))).withColumn("n", F.size("xs"))
     spans = spans.withColumn("gap", F.array_position(F.transform("xs", lambda p: p["x"].isNull()), True))  # 0: none
     ends = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_span", "n", "gap", F.col("xs")[0]["x"].alias("x"), F.element_at("own", -1).alias("own")))).alias("ends"))
 
-    def on(acc, s):
-        before = last(acc)
+    def on(before, s):
         e = F.when((s["gap"] > 0) | before["e"].isNull(), s["own"]).otherwise(s["own"] + F.pow(F.lit(keep), s["n"]) * (before["e"] - s["x"]))
-        return F.array_append(acc, F.struct(e.alias("e"), (F.coalesce(before["rows"], F.lit(0).cast("long")) + s["n"]).alias("rows")))
+        return F.struct(e.alias("e"), (F.coalesce(before["rows"], F.lit(0).cast("long")) + s["n"]).alias("rows"))
 
-    states = F.aggregate("ends", F.array().cast("array<struct<e:double,rows:bigint>>"), on)
-    start = F.lit(None).cast("struct<e:double,rows:bigint>")
+    start = none.cast("struct<e:double,rows:bigint>")
+    states = scanned(F.col("ends"), start, on)
     heads = ends.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.col("ends._span").alias("span"), F.concat(F.array(start), states).alias("before"))).alias("h"))
     heads = heads.where(F.col("h.span").isNotNull()).select("_key", F.col("h.span").alias("_of"), F.col("h.before.e").alias("e"), F.coalesce("h.before.rows", F.lit(0)).alias("before"))
     rows = spans.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_of")), "left")
@@ -71,6 +71,32 @@ def exponential(rows: DataFrame, alpha: float, value: str = "close", key: str =
     return rows.select(key, F.col("r.at").alias(order), ema.alias("ema"))
 
 
+def positions(rows: DataFrame, moves: Sequence[Column], key: str = "event_type", order: str = "bar", start: int = 0, span: float = 30 * 86400.0) -> DataFrame:
+    """(key, order, state): a strategy as a finite automaton. Its states are 0 to len(moves) - 1; moves[s] is the state that
+    a row leads to from state s, as an integer column of that row. A null move, or one to no state, stays where it is. A
+    key begins in `start`; a row's state is the one after it, so rules that look back only make states that do so too.
+
+    A key is cut into spans (`span` seconds, or units of a numeric order). What a span does is a function of states, an
+    array with the end for each beginning; these functions, one row for each span, are composed in the order of the spans,
+    and each span is replayed from the state it begins in. So a task holds a span's rows; only a key's functions are in
+    one task. Rows that tie in order come in the order of their moves; those without an order come first."""
+    if not moves or not 0 <= start < len(moves):
+        raise ValueError(f"start {start} is none of {len(moves)} states")
+    at, n = F.col(order), len(moves)
+    to = [F.when(m.between(0, n - 1), m.cast("int")).otherwise(F.lit(s)) for s, m in enumerate(moves)]
+    line = F.struct(at.alias("at"), F.array(*to).alias("to"))
+    spans = rows.groupBy(F.col(key), span_of(at, rows.schema[order].dataType, span).alias("_span")).agg(F.sort_array(F.collect_list(line)).alias("xs"))
+    does = F.aggregate("xs", F.array(*map(F.lit, range(n))), lambda f, x: F.transform(f, lambda s: x["to"][s]))
+    ends = spans.select(key, "_span", does.alias("does")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_span", "does"))).alias("ends"))
+    states = scanned(F.col("ends"), F.lit(start), lambda s, e: e["does"][s])
+    begin = F.slice(F.concat(F.array(F.lit(start)), states), 1, F.size("ends"))
+    heads = ends.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.col("ends._span").alias("of"), begin.alias("s"))).alias("h")).select("_key", F.col("h.of").alias("_of"), F.col("h.s").alias("_s"))
+    found = spans.join(heads, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
+    replayed = scanned(F.col("xs"), F.col("_s"), lambda s, x: x["to"][s])
+    found = found.select(key, F.explode(F.arrays_zip(F.col("xs.at").alias("at"), replayed.alias("state"))).alias("r"))
+    return found.select(key, F.col("r.at").alias(order), F.col("r.state").alias("state"))
+
+
 def aligned(fine: DataFrame, coarse: DataFrame, coarse_width: str, key: str = "event_type") -> DataFrame:
     """fine bars with the close of the last coarse bar that had ended when they began. A coarse bar is known at its end
     only, so nothing of the future shows."""

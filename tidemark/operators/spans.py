@@ -3,7 +3,7 @@ sums up the spans before it. So a task holds a span and not a key, and only the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,18 @@ def span_of(at: Column, kind: DataType, width: float) -> Column:
     return F.floor(at.cast("double") / F.lit(float(width)))
 
 
+def scanned(xs: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """The array of states after each element of the array xs: step(state, element), from start on, in the type of start.
+    Blocks are scanned one after the other, so a state is copied some `block` times and not as often as xs is long. Null
+    for a null xs, empty for an empty one."""
+    last = lambda states: F.element_at(states, -1)
+    blocks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(block)), lambda i: F.slice(xs, i, block))).otherwise(F.slice(F.array(xs), 2, 1))
+    on = lambda done, part: F.array_append(done, F.aggregate(part, F.array(last(last(done))), lambda states, x: F.array_append(states, step(last(states), x))))
+    nullable = F.slice(F.array(start, F.lit(None)), 1, 1)  # states can be null, whatever start is
+    done = F.aggregate(blocks, F.array(nullable), on)  # each block's states follow the one that it starts from
+    return F.when(xs.isNotNull(), F.flatten(F.transform(F.slice(done, 2, F.size(blocks)), lambda states: F.slice(states, 2, block))))
+
+
 def _whole(at: Column, kind: DataType) -> tuple[Column, int]:
     """at as an integer in its order, and how many of those are a second (dates and times) or a unit (integers)."""
     if isinstance(kind, TimestampNTZType):

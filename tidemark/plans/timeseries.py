@@ -147,6 +147,21 @@ def bars_exponential(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_type", "bar", F.round("ema", 8).alias("ema"))
 
 
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER w AS i, avg(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, min(low) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS floor FROM ({_bars_sql("4 HOUR")}) WINDOW w AS (PARTITION BY event_type ORDER BY bar)),
+p AS (SELECT event_type, i, bar, close, CASE WHEN close > m THEN 1 ELSE 0 END AS state FROM b WHERE i = 1 UNION ALL SELECT b.event_type, b.i, b.bar, b.close, CASE
+ WHEN p.state = 0 THEN CASE WHEN b.close > b.m THEN 1 ELSE 0 END WHEN p.state = 1 THEN CASE WHEN b.low < b.floor THEN 2 WHEN b.close < b.m THEN 0 ELSE 1 END ELSE CASE WHEN b.close < b.m THEN 0 ELSE 2 END END FROM p JOIN b ON b.event_type = p.event_type AND b.i = p.i + 1)
+SELECT event_type, bar, state::INT AS state FROM p""")
+def bars_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """A position over bars: out (0), in (1), or stopped (2). In when a close is above the mean of ten; out when it is below;
+    stopped when a bar falls below the five before, and then out again, and free to go in, only below the mean."""
+    made = B.bars(_events(spark, sf), "4 hours")
+    w = Window.partitionBy("event_type").orderBy("bar")
+    ruled = made.withColumn("m", F.avg("close").over(w.rowsBetween(-9, 0))).withColumn("floor", F.min("low").over(w.rowsBetween(-5, -1)))
+    close, m = F.col("close"), F.col("m")
+    moves = [F.when(close > m, 1).otherwise(0), F.when(F.col("low") < F.col("floor"), 2).when(close < m, 0).otherwise(1), F.when(close < m, 0).otherwise(2)]
+    return B.positions(ruled, moves, span=7 * 86400.0)
+
+
 @query(f"SELECT e.event_id, e.event_type, e.ts, d.close AS close FROM events e ASOF LEFT JOIN (SELECT event_type, bar + INTERVAL 1 DAY AS ended, close FROM ({_bars_sql('1 DAY')})) d ON e.event_type = d.event_type AND e.ts >= d.ended")
 def join_asof(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf)
