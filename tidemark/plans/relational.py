@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators.aggregates import Quantiles, merged, percentiles, quantiles, states
 from tidemark.operators.joins import range_join, salted_join
-from tidemark.sources.shared import kept
-from tidemark.sources.tables import table
+from tidemark.sources import arrow_parts
+from tidemark.sources.shared import kept, new_path
+from tidemark.sources.tables import bucketed, buckets_for, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,6 +57,26 @@ def join_star(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("r_name", "n_name").agg(F.sum("price").cast("double").alias("revenue"), F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey, o_orderpriority, count(l_orderkey) AS n, coalesce(sum(l_quantity::DECIMAL(18, 2)), 0)::DOUBLE AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority")
+def join_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the number and quantity of their lines, from two tables in buckets of the order: once they are
+    written, neither the join nor the grouping shuffles."""
+    orders, lines = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    n = buckets_for([orders, lines])
+    o, x = bucketed(orders, "o_orderkey", n), bucketed(lines, "l_orderkey", n)
+    rows = o.hint("merge").join(x, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey", "o_orderpriority")
+    return rows.agg(F.count("l_orderkey").alias("n"), F.coalesce(F.sum(F.col("l_quantity").cast("decimal(18, 2)")), F.lit(0)).cast("double").alias("quantity"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(ts)::TIMESTAMP AS since, max(value) AS most FROM events GROUP BY event_type")
+def source_arrow(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by type, written to and read from a table of Arrow files."""
+    arrow_parts.use(spark)
+    path = new_path(spark, "events-arrow")
+    table(spark, sf, "events").write.format("arrow_parts").mode("append").save(path)
+    return spark.read.format("arrow_parts").load(path).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("ts").alias("since"), F.max("value").alias("most"))
+
+
 def _orders_lines(spark: SparkSession, sf: str, how: str) -> DataFrame:
     o, n = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_quantity > 40")
     return o.select("o_orderkey", "o_orderstatus").join(n.select("l_orderkey", "l_partkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"), how)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tidemark.sources.shared import new_path
+
 FORMATS = ("parquet", "orc", "csv", "json")
 
 
@@ -26,3 +31,22 @@ def save(df: DataFrame, folder: str, name: str, kind: str = "parquet", by: list[
     writer = df.write.mode(mode).options(**({"header": "true"} if kind == "csv" else {}))
     (writer.partitionBy(*by) if by else writer).format(kind).save(path)
     return path
+
+
+def buckets_for(frames: Sequence[DataFrame], bytes_each: int = 128 << 20) -> int:
+    """A number of buckets that gives the largest of frames, by the optimizer's estimate, some bytes_each in one; 8 at
+    least, and Spark's own most of 100,000. Frames of which nothing is known before they run (rows from Python) are an error."""
+    size = max(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in frames)
+    if size >= 1 << 60:
+        raise ValueError("the size of a frame is not known: write it first, or name a number of buckets")
+    return min(max(8, -(-size // bytes_each)), 100_000)
+
+
+def bucketed(df: DataFrame, by: str, buckets: int, name: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, in `buckets` of its column `by`, each one file sorted by it. Tables with equal
+    numbers of buckets are joined and grouped by `by` without a shuffle, as often as they are read. All rows of a key are
+    in one bucket, nulls in one too, so keys that hold a large share of the rows are for `salted_join`. The table's name,
+    a new one where none is given, is known to this session; a name that is taken is an error."""
+    name = name or f"tidemark_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", new_path(df.sparkSession, name)).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
