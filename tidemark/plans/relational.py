@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators.aggregates import Quantiles, merged, percentiles, quantiles, states
 from tidemark.operators.joins import range_join, salted_join
+from tidemark.operators.nearest import nearest
 from tidemark.sources import arrow_parts
 from tidemark.sources.shared import kept, new_path
 from tidemark.sources.tables import bucketed, buckets_for, table
@@ -311,6 +312,14 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("r", rank).where("r <= 3").select("vec_id", "other_id", F.round("cosine", 8).alias("cosine"))
 
 
+@query("""SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 8) AS cosine
+FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 3""")
+def nearest_in_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """nearest_vectors by cells around pivots, without a row for each pair."""
+    found = nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 3)
+    return found.select("vec_id", "other_id", F.round("cosine", 8).alias("cosine"))
+
+
 @query("SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM documents) WHERE word <> '' GROUP BY lang, word")
 def explode_words(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
