@@ -79,7 +79,7 @@ def test_cells_are_left_unvisited(spark):
     """Of tight clusters a query sees few rows; a hot group of copies adds k + 1 rows at most."""
     rows = clusters(6, 3000, 32, 30, 0.05)
     rows += [(10_000 + 5 * i, rows[7][1], "a") for i in range(1500)]
-    got = nearest(spark.createDataFrame([(i, v, g, "x", 1) for i, v, g in rows], SCHEMA), F.col("vec_id") % 50 == 0, 3)
+    got = nearest(spark.createDataFrame([(i, v, g, "x", 1) for i, v, g in rows], SCHEMA), F.col("vec_id") % 50 == 0, 3, pivots=64)
     seen = {r["vec_id"]: r["compared"] for r in got.collect()}
     label = {g: sum(h == g for _, _, h in rows[:3000]) for g in "ab"}
     assert len(seen) == sum(i % 50 == 0 for i, _, _ in rows)

@@ -19,7 +19,7 @@ ROOM = 1 << 19
 KEYS = ["group", "width", "cell"]
 
 
-def nearest(rows: DataFrame, asked: Column, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", pivots: int = 64, sample: int = 4096, seed: int = 5) -> DataFrame:
+def nearest(rows: DataFrame, asked: Column, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", pivots: int | None = None, sample: int = 4096, seed: int = 5) -> DataFrame:
     """(id_col, other_id, cosine, rank, compared): for each row where `asked` holds, the k rows of the same group with
     another id that have the greatest cosine (all, if fewer), by cosine, then by smaller id. `compared` is the number of
     rows that the query was compared with to find them. The result is exact, whatever the pivots are.
@@ -32,7 +32,8 @@ def nearest(rows: DataFrame, asked: Column, k: int = 3, id_col: str = "vec_id",
 
     Cells and their queries are cut into parts of bounded size, and a part gives k rows for each query, so no cell, group
     or number of queries needs one task. `pivots` of at most `sample` vectors (by hash) are chosen on the driver, each the
-    farthest from those before; the share of rows in a cell falls with their number, so let it grow with the table.
+    farthest from those before. Without a number it is half the root of the number of rows (at most `sample`), so that a
+    query's pivots and the rows of a cell grow alike.
 
     Rows without an id, group or vector, and with a vector that is empty, zero or holds a null or non-finite component take
     no part; nor do vectors of different lengths meet. Rows that repeat id, group and vector are one row, asked if one of
@@ -44,6 +45,7 @@ def nearest(rows: DataFrame, asked: Column, k: int = 3, id_col: str = "vec_id",
     own = own.where(F.col("id").isNotNull() & F.col("group").isNotNull() & F.col("vector").isNotNull()).where(~bad & F.exists("vector", lambda x: x != 0))
     own = kept(own.groupBy("group", "vector", "id").agg(F.max("asked").alias("asked")), "nearest-rows")
     drawn = own.orderBy(F.xxhash64("id", "vector", F.lit(seed)), "id").limit(sample).select("vector").toArrow()
+    pivots = pivots or max(1, int(own.count() ** 0.5) // 2)
     centres = _centres([np.array(v, float) for v in drawn.column(0).to_pylist()], pivots)
 
     first = F.row_number().over(Window.partitionBy("group", "vector").orderBy("id"))
