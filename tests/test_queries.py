@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 
 from tidemark.plans import relational, timeseries
@@ -78,3 +79,16 @@ def test_grouped_map_has_bounded_frames(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relational, "_above_least", bounded)
     got = {r["event_id"]: r["above_least"] for r in relational.udf_grouped_map(spark, str(tmp_path)).collect()}
     assert got == {i: float(i) for i in range(1000)}
+
+
+def test_scalar_math_of_zero_and_less(spark, tmp_path):
+    """A value of zero, of either sign, and one below it, as SQL has them; null stays null."""
+    values = [0.0, -0.0, -1.5, 1e-300, 1.0, 150.0, 1e12, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT event_id, log_value, root, whole, rest, at_least, band FROM ({relational.ORACLE_SQL['scalar_math']})").fetchall()
+    got = relational.scalar_math(spark, str(tmp_path)).select("event_id", "log_value", "root", "whole", "rest", "at_least", "band").collect()
+    plain = lambda rows: sorted(tuple("nan" if x != x else x for x in r) for r in rows)
+    assert plain(got) == plain(want)
+    assert [str(r["log_value"]) for r in sorted(got)[:3]] == ["-inf", "-inf", "nan"]

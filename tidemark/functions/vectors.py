@@ -19,3 +19,8 @@ def cosine(a: Column, b: Column) -> Column:
 def json_long(text: Column, path: str) -> Column:
     """An integer of a JSON text, null where it isn't there, no integer, or the text is malformed."""
     return F.try_variant_get(F.try_parse_json(text), path, "bigint")
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm as IEEE 754 and DuckDB have it: minus infinity for zero and NaN for less, where Spark's is null."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))

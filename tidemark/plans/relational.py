@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import cosine, json_long
+from tidemark.functions.vectors import cosine, json_long, ln
 from tidemark.operators.aggregates import Quantiles, merged, percentiles, quantiles, states
 from tidemark.operators.joins import range_join, salted_join
 from tidemark.operators.nearest import nearest
@@ -288,7 +288,7 @@ def scalar_dates(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, round(ln(value), 8) AS log_value, round(sqrt(value), 8) AS root, floor(value)::BIGINT AS whole, (event_id % 7)::BIGINT AS rest, greatest(value, 100.0) AS at_least, CASE WHEN value > 200 THEN 'high' WHEN value > 50 THEN 'mid' ELSE 'low' END AS band FROM events")
 def scalar_math(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf, "events").select("event_id", F.round(F.log(v), 8).alias("log_value"), F.round(F.sqrt(v), 8).alias("root"), F.floor(v).alias("whole"), (F.col("event_id") % 7).alias("rest"), F.greatest(v, F.lit(100.0)).alias("at_least"), F.when(v > 200, "high").when(v > 50, "mid").otherwise("low").alias("band"))
+    return table(spark, sf, "events").select("event_id", F.round(ln(v), 8).alias("log_value"), F.round(F.sqrt(v), 8).alias("root"), F.floor(v).alias("whole"), (F.col("event_id") % 7).alias("rest"), F.greatest(v, F.lit(100.0)).alias("at_least"), F.when(v > 200, "high").when(v > 50, "mid").otherwise("low").alias("band"))
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
