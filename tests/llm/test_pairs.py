@@ -276,3 +276,19 @@ def test_op10_query_on_a_planted_table(spark, tmp_path):
     found = [got[v]["n_links"] for v, _, _ in rows]
     assert all(f <= c for f, c in zip(found, count, strict=True)) and sum(found) >= 0.99 * sum(count)
     assert sum(got[v]["component_id"] == rows[r][0] for (v, _, _), r in zip(rows, root, strict=True)) >= 0.99 * len(rows)
+
+
+def test_near_dedup_finds_candidates_by_deletion_variants(spark, monkeypatch):
+    """Without any shared least hashes, pairs within 3 bits of a SimHash are found by its deletion variants, and stay
+    linked only where their shingles are alike."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for _ in range(20):
+        words = [f"w{i}" for i in rng.integers(0, 1 << 40, 400)]
+        docs += [words, [*words[:-1], "other"]]
+    docs += [["a"] * 300 + ["b"], ["a"] * 300 + ["c"]]  # 1 of their 3 different shingles is in both
+    monkeypatch.setattr(simhash, "_members", lambda nodes: nodes.where("false").select(F.lit(0).alias("seg"), F.lit(0).cast("long").alias("val"), "node", F.lit(0).cast("long").alias("size")))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    near = [k for k in range(0, 40, 2) if np.bitwise_count(np.bitwise_xor(*(np.array(simhash._majority(iter([simhash._once([w.encode() for w in d], 5)]), 1)) for d in docs[k : k + 2]))).sum() <= 3]
+    assert len(near) > 10 and all(got[k + 1] == got[k] == k for k in near)
+    assert got[40] == 40 and got[41] == 41

@@ -201,16 +201,20 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int
     their different word shingles. Two are linked if it is `similarity` or more, counted on the shingles' 64-bit hashes.
     own is a hash of the text; first is true for the component's first document, by id (null last) and own.
 
-    Candidates share one of BANDS fingerprints, which depends on their similarity J alone: 1 - (1 - J ** MINIMA) **
-    BANDS of the pairs do, that is all but one in 2,800 at 0.8, wherever and however they differ. Rows with the same
-    words are one node. Other cases are those of near_duplicates.
+    Candidates are those of the deletion variants of a SimHash of the shingles, with 3 or fewer differing bits, and, since
+    at a similarity of 0.8 some 10 of its 64 bits differ, those that share one of BANDS fingerprints, which depends on
+    their similarity J alone: 1 - (1 - J ** MINIMA) ** BANDS of the pairs do, that is all but one in 2,800 at 0.8,
+    wherever and however they differ. Rows with the same words are one node. Other cases are those of near_duplicates.
     """
     found = stage(_wide(docs, width), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "own")
     nodes = found.groupBy("high", "low").agg(F.min(order).alias("row"), *(F.first(x).alias(x) for x in ("size", "check", "bands")))
     nodes = stage(nodes.withColumns({"node": F.monotonically_increasing_id(), "first": F.col("row")}), "distinct-fingerprints")
+    bits = F.array(F.col("check")[0])
+    variants = stage(near_links(nodes.where("size > 0").select("node", bits.alias("cut"), bits.alias("check")), 3), "simhash-candidates")
     members = stage(_members(nodes), "members")
-    links = _verified(members, _sets(docs, nodes, members, width), similarity, tile)
+    wanted = members.select("node").unionByName(variants.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    links = _verified(members, variants, _sets(docs, nodes, wanted, width), similarity, tile)
     named = _components(found, ["high", "low"], nodes, links)
     first = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("own") == F.col("component_id.own"))
     return named.select("doc_id", "own", F.col("component_id.doc_id").alias("component_id"), first.alias("first"))
@@ -223,8 +227,8 @@ def _members(nodes: DataFrame) -> DataFrame:
     return values.join(stage(sizes, "shared-fingerprints"), ["seg", "val"])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(node, size, check, grams) of the nodes among members, one row each; grams are the ascending hashes of its
+def _sets(docs: DataFrame, nodes: DataFrame, among: DataFrame, width: int) -> DataFrame:
+    """(node, size, check, grams) of the nodes among those given, one row each; grams are the ascending hashes of its
     different shingles, as bytes.
 
     Rows that repeat both the id and the text of a node's first document all match it. Tasks give each node out once, and
@@ -242,7 +246,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int) ->
                 grams = [_once(text.lower().split(), width).tobytes() for text in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(grams, pa.binary())], ["node", "size", "check", "grams"])
 
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "size", "check", F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own"))
+    wanted = nodes.join(among, "node").select("node", "size", "check", F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(stage(wanted, "candidates"), (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     made = stage(rows.select("node", "size", "check", "text").mapInArrow(work, "node long, size int, check array<long>, grams binary"), "shingles")
@@ -273,9 +277,9 @@ class _Near:
         return same >= self.similarity * (len(a) + len(b) - same) - 1e-9
 
 
-def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int) -> DataFrame:
+def _verified(members: DataFrame, variants: DataFrame, sets: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Links (a, b) between nodes that connect, by way of others in part, all members (seg, val, node, size) of a bucket
-    that are near. Tiles are bounded by rows (twice `tile`) and by shingles (twice SHINGLES, or what one text alone has), so
+    that are near, and the pairs (a, b) of variants that are. Tiles are bounded by rows (twice `tile`) and by shingles (twice SHINGLES, or what one text alone has), so
     long texts make more of them.
 
     Members are compared with their bucket's hub first, which is as many pairs as members and connects most groups of
@@ -297,7 +301,8 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
     reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
     hubs = members.join(stage(reach, "reach"), "node").groupBy("seg", "val").agg(F.max(F.struct("reach", (-F.col("node")).alias("own"))).alias("hub"))
     hubs = stage(hubs.select("seg", "val", (-F.col("hub.own")).alias("hub")), "hubs")
-    stars = stage(members.join(hubs, ["seg", "val"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = members.join(hubs, ["seg", "val"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = stage(stars.unionByName(variants.select("a", "b")).distinct(), "stars")
     side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "check", "grams")))
     links = stage(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(pairs, "a long, b long"), "star-links")
 
@@ -344,8 +349,10 @@ def _verified(members: DataFrame, sets: DataFrame, similarity: float, tile: int)
 def _tiles(members: DataFrame, tile: int) -> DataFrame:
     """Cuts buckets (seg, val) into tiles of bounded size, in which all members of different components meet. A bucket's
     largest component (large, of n_large members) is dealt into blocks of its own, and those meet only the blocks of the
-    n_others; so a large group with a few other members costs a row for each member, not one for each pair of blocks."""
-    dealt = lambda of: F.greatest(F.lit(1), F.ceil(F.col(f"n_{of}") / F.lit(float(tile))), F.ceil(F.col(f"s_{of}") / F.lit(float(SHINGLES)))).cast("int")
+    n_others; so a large group with a few other members costs a row for each member, not one for each pair of blocks. Blocks
+    are bounded by rows and, where s_large and s_others say how many, by shingles."""
+    bounds = lambda of: {f"n_{of}": tile, f"s_{of}": SHINGLES}.items()
+    dealt = lambda of: F.greatest(F.lit(1), F.lit(1), *[F.ceil(F.col(c) / F.lit(float(most))) for c, most in bounds(of) if c in members.columns]).cast("int")
     rows = members.withColumns({"others": dealt("others"), "blocks": dealt("others") + dealt("large"), "is_large": F.col("root") == F.col("large")})
     spread = F.xxhash64("node")
     own = F.when(F.col("is_large"), F.col("others") + F.pmod(spread, F.col("blocks") - F.col("others"))).otherwise(F.pmod(spread, F.col("others")))
