@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import cosine, json_long
 from tidemark.operators import bars as B
 from tidemark.operators.joins import asof_join, range_join, salted_join
-from tidemark.operators.spans import framed, ranks, scanned
+from tidemark.operators.spans import added, framed, ranks, scanned
 from tidemark.plans import timeseries
 from tidemark.sources.tables import save, table
 
@@ -227,3 +227,20 @@ def test_frames_of_times(spark):
         assert got == [(i, sum(x - dt.timedelta(hours=1) <= y <= x for _, y in data)) for i, x in data]
     with pytest.raises(ValueError):
         framed(df.withColumn("t", F.lit(1.0)), [], "t", 1, {"n": F.count("*")}, 1)
+
+
+@pytest.mark.parametrize("reach", [1, 25, 10_000])
+def test_frames_by_running_aggregates(spark, sf, reach, capsys):
+    """The same as a plain window, negative times too, and no frame that slides over all its rows for each row."""
+    data = [(i, "a" if i % 9 else None, (i * 37) % 200 - 90 if i % 11 else None, (float(i % 13) if i % 17 else float("nan")) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, k string, t int, v double")
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-reach, 0)
+    sums = {"n": F.count("*"), "s": F.sum(F.nanvl("v", F.lit(50.0))), "m": F.max("v"), "v": F.min("v")}
+    want = rows(df.select("id", *[c.over(w).alias(n) for n, c in sums.items()]), "id")
+    got = framed(df, ["k"], "t", reach, sums, 10, {"n": added, "s": added, "m": F.greatest, "v": F.least})
+    assert got.columns == ["id", "k", "t", "n", "s", "m", "v"] and str(rows(got.select("id", *sums), "id")) == str(want)
+    assert framed(df.limit(0), ["k"], "t", reach, sums, 10, {"n": added, "s": added, "m": F.greatest, "v": F.least}).count() == 0
+    with pytest.raises(ValueError, match="all aggregates"):
+        framed(df, ["k"], "t", reach, sums, 10, {"n": added})
+    timeseries.window_frames(spark, sf).explain()
+    assert "RangeFrame, unboundedpreceding" in (plan := capsys.readouterr().out) and "RangeFrame, -" not in plan

@@ -50,23 +50,48 @@ def _whole(at: Column, kind: DataType) -> tuple[Column, int]:
     raise ValueError(f"frames over {kind.simpleString()} aren't exact in integers")
 
 
-def framed(rows: DataFrame, keys: Sequence[str], at: str, reach: int, aggregates: Mapping[str, Column], width: int) -> DataFrame:
+def added(a: Column, b: Column) -> Column:
+    """The sum of two counts or sums, of which either can be null."""
+    return F.coalesce(a + b, a, b)
+
+
+def framed(rows: DataFrame, keys: Sequence[str], at: str, reach: int, aggregates: Mapping[str, Column], width: int, merges: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """rows with each of aggregates (name: F.sum("x") and the like) over the key's rows from `reach` before a row's `at` up
     to and with it, rows of one time being equal: what a window of RANGE BETWEEN reach PRECEDING AND CURRENT ROW gives.
     reach and width are seconds for dates and times, units for integers.
 
-    A key is cut into spans of `width`, and a row stands in its own span and in those that its reach goes on to (the halo):
-    for a width of reach or more that is two at most. So a key with a third of all rows is as many tasks as it has spans,
-    and a task holds the rows of one span and of the reach before it. Rows without a time see the key's others without
-    one. Columns of rows with the new names are replaced."""
+    A key is cut into spans, and a row stands in its own span and in those that its reach goes on to (the halo), so a key
+    with a third of all rows is as many tasks as it has spans, and a task holds the rows of one span and of the reach
+    before it.
+
+    merges says how an aggregate of two parts of a frame follows from theirs (added, F.least, F.greatest), for all of
+    aggregates. Then spans are as long as the reach: a frame is the end of one span and the start of the next, each of
+    which is a running aggregate, so the work of a row doesn't grow with its frame. Without merges spans have `width`
+    (of reach or more: two at most for a row), and Spark's sliding frame goes over all of a row's frame for each row.
+
+    Rows without a time see the key's others without one. Columns of rows with the new names are replaced."""
+    if merges is not None and (reach <= 0 or set(merges) != set(aggregates)):
+        raise ValueError("merges are for a reach above 0, and for all aggregates")
     whole, unit = _whole(F.col(at), rows.schema[at].dataType)
-    span = lambda place: F.floor(place / F.lit(width * unit)).cast("long")
+    length = (width if merges is None else reach) * unit
+    span = lambda place: F.floor(place / F.lit(length)).cast("long") if merges is None else F.expr(f"(_tm_at - pmod(_tm_at, {length}L)) div {length}L")
     cut = rows.withColumn("_tm_at", whole).withColumn("_tm_own", span(F.col("_tm_at")))
-    met = F.coalesce(F.sequence("_tm_own", span(F.col("_tm_at") + reach * unit)), F.array(F.lit(None).cast("long")))
-    frame = Window.partitionBy(*keys, "_tm_span").orderBy("_tm_at").rangeBetween(-reach * unit, 0)
     kept = [c for c in rows.columns if c not in aggregates]
-    found = cut.withColumn("_tm_span", F.explode(met)).select(*kept, "_tm_own", "_tm_span", *[c.over(frame).alias(n) for n, c in aggregates.items()])
-    return found.where(F.col("_tm_own").eqNullSafe(F.col("_tm_span"))).drop("_tm_own", "_tm_span")
+    if merges is None:
+        met = F.coalesce(F.sequence("_tm_own", span(F.col("_tm_at") + reach * unit)), F.array(F.lit(None).cast("long")))
+        frame = Window.partitionBy(*keys, "_tm_span").orderBy("_tm_at").rangeBetween(-reach * unit, 0)
+        found = cut.withColumn("_tm_span", F.explode(met)).select(*kept, "_tm_own", "_tm_span", *[c.over(frame).alias(n) for n, c in aggregates.items()])
+        return found.where(F.col("_tm_own").eqNullSafe(F.col("_tm_span"))).drop("_tm_own", "_tm_span")
+    met = F.when(F.col("_tm_own").isNull(), F.array("_tm_own")).otherwise(F.array("_tm_own", F.col("_tm_own") + 1))
+    both = cut.withColumn("_tm_span", F.explode(met)).withColumn("_tm_halo", ~F.col("_tm_own").eqNullSafe(F.col("_tm_span")))
+    # up to a row in its own span, and from a row on to the end of the span before
+    so_far = Window.partitionBy(*keys, "_tm_span", "_tm_halo").orderBy(F.when(F.col("_tm_halo"), -F.col("_tm_at")).otherwise(F.col("_tm_at"))).rangeBetween(Window.unboundedPreceding, 0)
+    parts = both.select(*kept, "_tm_at", "_tm_span", "_tm_halo", F.struct(*[c.over(so_far).alias(n) for n, c in aggregates.items()]).alias("_tm_part"))
+    # the earliest row of the span before that is still within reach
+    back = Window.partitionBy(*keys, "_tm_span").orderBy(F.when(F.col("_tm_halo"), -F.col("_tm_at")).otherwise(reach * unit - F.col("_tm_at"))).rangeBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_tm_before", F.last(F.when(F.col("_tm_halo"), F.col("_tm_part")), ignorenulls=True).over(back)).where("not _tm_halo")
+    merged = lambda n: F.when(F.col("_tm_before").isNull(), F.col("_tm_part")[n]).otherwise(merges[n](F.col("_tm_part")[n], F.col("_tm_before")[n]))
+    return parts.select(*kept, *[merged(n).alias(n) for n in aggregates])
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amounts: Mapping[str, str], width: float) -> DataFrame:
