@@ -86,6 +86,16 @@ def test_visits_leave_the_state_by_their_timers(spark, fed):
     assert state_rows(progress)[-1] < max(state_rows(progress)) and state_rows(progress)[-1] <= 3
 
 
+def test_a_user_with_many_visits_has_one_row_of_state(spark, fed):
+    """All of a user's open visits are one value and one timer; null and NaN values count as 0."""
+    events = fed([(1, "view", f"{9 + 7 * i}:00") for i in range(40)], [(2, "view", "400:00")], [(2, "view", "400:01")])
+    values = F.expr("CASE WHEN hour(ts) % 3 = 0 THEN null WHEN hour(ts) % 3 = 1 THEN double('NaN') ELSE value END")
+    with streams.rocks_db(spark):
+        found, progress = streams.run(stateful.visits(events.withColumn("value", values)), "append", "visits-many")
+    assert rows(found, "user_id", "start", "n", "total") == sorted([(1, (9 + 7 * i) * 3_600_000_000 + 1_704_067_200_000_000, 1, float((9 + 7 * i) % 24 % 3 == 2)) for i in range(40)], key=str)
+    assert max(state_rows(progress)) <= 5  # 40 visits in a map were 40 and as many timers, by two orders
+
+
 def test_joined_visits_in_any_order():
     spans = [(i * 5, i * 5, 1, 1.0, 1 << i % 3) for i in (4, 0, 2, 1, 9, 3)]
     once = stateful._joined(spans, 6)

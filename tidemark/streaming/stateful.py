@@ -114,46 +114,56 @@ def _joined(spans: list[tuple], gap: int) -> list[tuple]:
 
 
 class Visits(StatefulProcessor):
-    """A user's visits: events less than `gap` microseconds apart. Open visits are a map by their start; each has a timer
-    at its end, and when the watermark reaches that the visit is given and leaves the state. A user without open visits
-    has no state. Rows of any order give the same visits, since visits that a row joins become one."""
+    """A user's visits: events less than `gap` microseconds apart. A user's open visits are one value of the state, as
+    arrays in the order of their starts, with one timer at the earliest end; when the watermark reaches that, all visits
+    that it has passed are given and leave the state. So a user costs a few calls of the state in a micro-batch, whatever
+    the number of visits; a user without open visits has no state. Rows of any order give the same visits, since visits
+    that a row joins become one."""
 
     def __init__(self, gap: int, kinds: list[str]) -> None:
         self.gap, self.kinds = gap, {kind: 1 << i for i, kind in enumerate(kinds)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "stop long, n long, total double, types long")
+        self.open = handle.getValueState("open", "start array<long>, stop array<long>, n array<long>, total array<double>, types array<long>")
 
     def _end(self, stop: int) -> int:
         return -(-(stop + self.gap) // 1000)  # timers are in milliseconds
 
+    def _spans(self) -> list[tuple]:
+        state = self.open.get()
+        return list(zip(*state, strict=True)) if state else []
+
+    def _keep(self, spans: list[tuple]) -> None:
+        """Makes spans the state, with a timer at the earliest end. The timers before are gone."""
+        if spans:
+            self.open.update(tuple(list(column) for column in zip(*spans, strict=True)))
+            self.handle.registerTimer(min(self._end(stop) for _, stop, *_ in spans))
+        else:
+            self.open.clear()
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = [(start[0], *state) for start, state in self.open.iterator()]
-        spans = list(before)
+        before = self._spans()
+        spans = before
         for frame in rows:
-            frame = frame.sort_values("at", kind="stable")
-            at, value = frame["at"].to_numpy(), frame["value"].fillna(0.0).to_numpy()
-            types = frame["event_type"].map(self.kinds).fillna(0).to_numpy(dtype=np.int64)
+            at, value, kinds = frame["at"].to_numpy(), frame["value"].to_numpy(dtype=np.float64, na_value=0.0), frame["event_type"].tolist()
+            order = np.argsort(at, kind="stable")
+            at, value, types = at[order], value[order], np.array([self.kinds.get(kind, 0) for kind in kinds], np.int64)[order]
             first = np.flatnonzero(np.r_[True, np.diff(at) >= self.gap])
             last = np.r_[first[1:], len(at)]
             own = zip(at[first].tolist(), at[last - 1].tolist(), (last - first).tolist(), np.add.reduceat(value, first).tolist(), np.bitwise_or.reduceat(types, first).tolist(), strict=True)
             spans = _joined(spans + list(own), self.gap)
-        gone, new = set(before) - set(spans), set(spans) - set(before)
-        for start, stop, *_ in gone:
-            self.open.removeKey((start,))
-            self.handle.deleteTimer(self._end(stop))
-        for start, *state in new:
-            self.open.updateValue((start,), tuple(state))
-        for _, stop, *_ in spans:
-            self.handle.registerTimer(self._end(stop))
+        if before:
+            self.handle.deleteTimer(min(self._end(stop) for _, stop, *_ in before))
+        self._keep(spans)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        done = [(start[0], *state) for start, state in self.open.iterator() if self._end(state[0]) <= now]
-        for start, *_ in done:
-            self.open.removeKey((start,))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        done, still = [], []
+        for span in self._spans():
+            (done if self._end(span[1]) <= now else still).append(span)
+        self._keep(still)
         if done:
             start, stop, n, total, types = zip(*done, strict=True)
             yield pd.DataFrame({"user_id": [key[0]] * len(done), "start": start, "last": stop, "n": n, "total": total, "n_types": [t.bit_count() for t in types]})
