@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import dominance
 from tidemark.operators.dominance import dominated
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.joins import asof_join, range_join, salted_join
@@ -132,3 +133,25 @@ def test_dominance_against_brute_force(spark, capsys):
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert dominated(df.limit(0), ["k"], "t", "v", "id", 50, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("large", [1, 40, 1 << 16])
+def test_dominance_in_spans_writes_few_rows(spark, monkeypatch, large):
+    """With groups cut into spans at different sizes, several keys or none, and no row written for each digit's place."""
+    rng = random.Random(6)
+    data = [(i, "a" if i % 3 else None, 7 if i % 11 == 0 else rng.randint(0, 9000), rng.choice([rng.uniform(-20, 20), 3.0, NAN, INF, -INF, None]), rng.choice([rng.randint(-9, 9), None])) for i in range(1500)]
+    df = spark.createDataFrame(data, "id int, k string, t int, v double, s int")
+    less = lambda a, b: a is not None and b is not None and a == a and (b != b or a < b)
+    held, plain = [], dominance.kept
+    monkeypatch.setattr(dominance, "kept", lambda rows, name: held.append(plain(rows, name)) or held[-1])
+    monkeypatch.setattr(dominance, "LARGE", large)
+    for keys in (["k"], []):
+        held.clear()
+        want = Counter()
+        for i, k, t, v, _ in data:
+            own = [s or 0 for _, k2, t2, v2, s in data if (not keys or k2 == k) and less(t2, t) and less(v2, v)]
+            want[i, len(own), sum(own)] += 1
+        got = dominated(df, keys, "t", "v", "s", 500, 2.0)
+        assert Counter(tuple(r) for r in got.select("id", "n_below", "total_below").collect()) == want
+        written = [f.count() for f in held]
+        assert sum(written[:2]) <= 2 * len(data) and sum(written) <= (7 if large == 1 else 3) * len(data)
