@@ -91,3 +91,11 @@ def test_buckets_of_ties_nulls_and_empty_tables(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, left["k"] == right["j"], "full").collect()))
     assert bucketed(left.limit(0), "k", n).join(b, F.col("k") == F.col("j")).count() == 0
     assert buckets_for([spark.range(10)], bytes_each=1) == 80
+
+
+def test_buckets_go_by_rows_and_not_by_what_files_take(spark, tmp_path):
+    """A million rows that a file holds in next to nothing are as many buckets as others."""
+    spark.range(1_000_000).selectExpr("id AS k", "0.0D AS zero", "'always the same' AS s").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t").select("k", "zero")
+    assert buckets_for([t.limit(1), t], bytes_each=1_000_000) >= 16
+    assert buckets_for([t]) == 8
